@@ -157,8 +157,8 @@ def q15_record_year(df: DataFrame) -> DataFrame:
 def q15_intended(df: DataFrame) -> DataFrame:
     """Counts hosts."""
     hosts = (
-        df.select("host_id", registered_year())
-        .dropna(subset=["registered_year"])
+        groups.with_keys(df, ["host_since"])
+        .select("host_id", registered_year())
         .groupBy("registered_year")
         .agg(F.count_distinct("host_id").alias("n"))
     )

@@ -126,8 +126,7 @@ def q13(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     labels = (
-        table(spark, sf_dir, "labels")
-        .dropna(subset=["quality"])
+        groups.with_keys(table(spark, sf_dir, "labels"), ["quality"])
         .groupBy("doc_id", "quality")
         .agg(F.count("*").alias("m"))
     )
@@ -184,14 +183,14 @@ def q17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q18a(spark: SparkSession, sf_dir: str) -> DataFrame:
     percentiles = quantiles.percentile_table(table(spark, sf_dir, "orders"), "o_totalprice", "v")
-    return percentiles.select(F.col("percentile").alias("p"), F.round("v", 2).alias("v"))
+    return percentiles.select(F.col("percentile").alias("p"), F.round("v", 6).alias("v"))
 
 
 def q18a_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Few distinct values, each shared by many rows."""
     lines = table(spark, sf_dir, "lineitem")
     return quantiles.percentile_table(lines, "l_quantity").select(
-        F.col("percentile").alias("p"), F.round("value", 2).alias("v")
+        F.col("percentile").alias("p"), F.round("value", 6).alias("v")
     )
 
 
@@ -452,7 +451,7 @@ QUERIES: dict[str, Query] = {
         lambda df: reports.q17c_countries(df, match="longest_word", leave_out="SPAIN")
     ),
     "listings_q18a": _on_listings(
-        lambda df: _rounded(reports.q18a_percentiles(df), 2, "price")
+        lambda df: _rounded(reports.q18a_percentiles(df), 6, "price")
     ),
     "listings_q18b": _on_listings(_outlier_profile),
     "listings_q18c": _on_listings(reports.q18c_outliers_by_type),

@@ -36,20 +36,21 @@ located AS (
         WHERE host_location IS NOT NULL))
 """
 _NAMES = ", ".join(
-    f"({rank}, {_texts([name])}, {_texts([label])}, {_texts([re.escape(name)])})"
+    f"({rank}, {_texts([name])}, {_texts([label])}, {_texts([re.sub(r'([^\W\d_]+)', r'|\1|', name)])})"
     for rank, (name, label) in enumerate(
         [(c, c) for c in COUNTRIES] + [(s, "UNITED STATES") for s in US_STATES]
     )
 )
+# Words are put between bars, in the text as in the names, so that only whole words are equal.
 _LOCATED_BY_WORD = rf"""
-places AS (SELECT DISTINCT host_location, upper(host_location) AS u FROM listings
-           WHERE host_location IS NOT NULL),
-names(rank, name, label, pattern) AS (VALUES {_NAMES}),
+places AS (SELECT DISTINCT host_location, upper(host_location) AS u,
+             regexp_replace(upper(host_location), '(\p{{L}}+)', '|\1|', 'g') AS words
+           FROM listings WHERE host_location IS NOT NULL),
+names(rank, name, label, words) AS (VALUES {_NAMES}),
 best AS (
   SELECT host_location, label,
          row_number() OVER (PARTITION BY host_location ORDER BY length(name) DESC, rank) AS place
-  FROM places JOIN names
-    ON contains(u, name) AND regexp_matches(u, '(^|[^\p{{L}}])' || pattern || '($|[^\p{{L}}])')),
+  FROM places p JOIN names n ON contains(p.words, n.words)),
 located AS (
   SELECT p.host_location, coalesce(b.label,
       CASE WHEN {_CODES} THEN 'UNITED STATES' END, 'OTHERS') AS clean_country
@@ -117,9 +118,9 @@ SQL: dict[str, str] = {
                 WHEN contains(upper(p_name), 'BLUE') THEN 'BLUE'
                 WHEN contains(upper(p_name), 'GREEN') THEN 'GREEN' ELSE 'OTHERS' END AS c,
               count(*) AS n FROM part GROUP BY 1""",
-    "q18a": f"""SELECT unnest(range(1, 101)) AS p, round(unnest(q), 2) AS v
+    "q18a": f"""SELECT unnest(range(1, 101)) AS p, round(unnest(q), 6) AS v
                 FROM (SELECT quantile_cont(o_totalprice, {_PERCENTS}) AS q FROM orders)""",
-    "q18a_lineitem": f"""SELECT unnest(range(1, 101)) AS p, round(unnest(q), 2) AS v
+    "q18a_lineitem": f"""SELECT unnest(range(1, 101)) AS p, round(unnest(q), 6) AS v
                 FROM (SELECT quantile_cont(l_quantity, {_PERCENTS}) AS q FROM lineitem)""",
     "q18b": f"""SELECT {_ORDER_FLAG} AS f, round(avg(o_totalprice), 4) AS m,
                 count(o_totalprice) AS n FROM orders GROUP BY 1""",
@@ -240,7 +241,7 @@ SQL: dict[str, str] = {
         _LOCATED_BY_WORD,
     ),
     "listings_q18a": _listings(
-        f"""SELECT unnest(range(1, 101)) AS percentile, round(unnest(q), 2) AS price
+        f"""SELECT unnest(range(1, 101)) AS percentile, round(unnest(q), 6) AS price
             FROM (SELECT quantile_cont(price, {_PERCENTS}) AS q FROM listings)"""
     ),
     "listings_q18b": _listings(

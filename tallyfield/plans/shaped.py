@@ -7,6 +7,8 @@ catalogue. ``LISTINGS_SQL`` and ``BOOKS_SQL`` say the same in SQL for the check
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,12 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         with_key("en tramite/"), key, F.lit("Exempt"), F.lit("ñandú"), F.lit("En proceso"),
         with_key("Es"), with_key("x ESFC"),
     ]
+    slot = F.col("o_custkey") % len(licenses)
+    license = reduce(
+        lambda chain, i: chain.when(slot == i, licenses[i]),
+        range(2, len(licenses)),
+        F.when(slot == 1, licenses[1]),
+    )
     place = F.get(F.array(*[F.lit(p) for p in PLACES]), (F.col("o_custkey") % 20).cast("int"))
     area = F.concat(F.lit("Area "), (F.col("o_custkey") % 7).cast("string"), F.lit(", "))
     digits = F.split(F.col("o_orderkey").cast("string"), "(?<=.)(?=.)")
@@ -75,7 +83,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         reviews.alias("number_of_reviews"),
         F.when(reviews > 0, F.month(date) * 0.25).alias("reviews_per_month"),
         F.when(priority.isin("1-URGENT", "2-HIGH"), "t").otherwise("f").alias("instant_bookable"),
-        F.get(F.array(*licenses), (F.col("o_custkey") % 16).cast("int")).alias("license"),
+        license.alias("license"),
         F.dayofyear(date).cast("double").alias("estimated_occupancy_l365d"),
     )
 

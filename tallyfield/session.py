@@ -8,9 +8,11 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", app: str = "tallyfield") -> SparkSession:
+def local_session(
+    cores: int | str = "*", app: str = "tallyfield", more: dict[str, str] | None = None
+) -> SparkSession:
     """A single-machine session. On a cluster, use the session the cluster gives instead."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
@@ -19,8 +21,10 @@ def local_session(cores: int | str = "*", app: str = "tallyfield") -> SparkSessi
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for key, value in (more or {}).items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -31,7 +35,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     Every executor must be able to read it back, so a machine-local folder is taken only where
     the setting is absent and the whole session lives on one machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

@@ -10,7 +10,10 @@ from tallyfield.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(8, "tests")
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("scratch")))
+    folders = {
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch")),
+        "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+    }
+    session = local_session(8, "tests", folders)
     yield session
     session.stop()
