@@ -23,66 +23,62 @@ BUCKETS = STRIDE * STRIDE
 ACCURACY = 10 * BUCKETS
 
 
-def _doubles(values: Sequence[float]) -> Column:
-    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+def _array(values: Sequence[float]) -> Column:
+    return F.expr("array(" + ", ".join(f"{v!r}{'D' * isinstance(v, float)}" for v in values) + ")")
 
 
-def _spread(counted: DataFrame, wanted: Column) -> Column:
-    """One value: the cut points, every 16th of them, the number of rows, the wanted ranks."""
-    shares = _doubles([i / BUCKETS for i in range(1, BUCKETS)])
-    last = F.col("total") - 1
-    nearest = F.transform(wanted, lambda f: F.array(F.floor(last * f), F.ceil(last * f)))
-    return (
-        counted.agg(
+def _with_bucket(counted: DataFrame) -> DataFrame:
+    """Adds the number of cut points below the value: by strides first, then within one.
+
+    The cut points are a scalar subquery. It sums the rows only so that it needs the very columns
+    the other steps need and shares their shuffle output.
+    """
+    shares = _array([i / BUCKETS for i in range(1, BUCKETS)])
+    cuts = counted.agg(
+        F.struct(
             F.percentile_approx("value", shares, ACCURACY).alias("cuts"),
             F.sum("rows").alias("total"),
         )
-        .select(
-            F.struct(
-                "cuts",
-                F.filter("cuts", lambda cut, i: i % STRIDE == STRIDE - 1).alias("strides"),
-                "total",
-                F.array_distinct(F.flatten(nearest)).alias("ranks"),
-            )
-        )
-        .scalar()
-    )
-
+    ).scalar()["cuts"]
 
-def _with_bucket(counted: DataFrame, spread: Column) -> DataFrame:
-    """Adds the number of cut points below the value: first by strides, then within one."""
-
-    def below(cuts: Column) -> Column:
-        # Declared never NULL: a join would otherwise test the bucket for NULL, and Catalyst
-        # would push that test, with all of this, under the aggregation to every row scanned.
-        return F.coalesce(F.size(F.filter(cuts, lambda cut: cut < F.col("value"))), F.lit(0))
+    def below(positions: Sequence[str]) -> Column:
+        # Plain comparisons, so they are compiled, and never NULL: a join would otherwise test
+        # the bucket for NULL, and Catalyst would push that test, with all of this, under the
+        # aggregation to every row scanned.
+        return F.expr(" + ".join(f"IF(get(cuts, {p}) < value, 1, 0)" for p in positions))
 
     return (
-        counted.withColumn("spread", spread)
-        .withColumn("hop", STRIDE * below(F.col("spread.strides")))
-        .withColumn("bucket", F.col("hop") + below(F.slice("spread.cuts", F.col("hop") + 1, STRIDE)))
-        .select("value", "rows", "bucket")
+        counted.withColumn("cuts", cuts)
+        .withColumn("hop", STRIDE * below([str(i) for i in range(STRIDE - 1, BUCKETS - 1, STRIDE)]))
+        .select(
+            "value",
+            "rows",
+            (F.col("hop") + below([f"hop + {i}" for i in range(STRIDE)])).alias("bucket"),
+        )
     )
 
 
-def _buckets_with_ranks(bucketed: DataFrame, spread: Column) -> DataFrame:
-    """``bucket, before, ranks``: buckets that hold a wanted rank. At most ``BUCKETS`` rows."""
+def _buckets_with_ranks(bucketed: DataFrame, wanted: Column) -> DataFrame:
+    """``bucket, before, last, ranks``: the buckets that hold a rank next to a wanted position,
+    the rows before them, and the last rank of all. At most ``BUCKETS`` rows."""
     # The one window without a partition: it runs over bucket totals, at most BUCKETS rows.
-    upto = F.sum("held").over(
-        Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rising = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.orderBy("bucket").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
     )
+    last = F.col("last")
+    nearest = F.flatten(F.transform(wanted, lambda f: F.array(F.floor(last * f), F.ceil(last * f))))
+    inside = F.filter(nearest, lambda r: (r >= F.col("before")) & (r < F.col("upto")))
     return (
         bucketed.groupBy("bucket")
         .agg(F.sum("rows").alias("held"))
-        .select("bucket", (upto - F.col("held")).alias("before"), upto.alias("upto"))
-        .withColumn("spread", spread)
         .select(
             "bucket",
-            "before",
-            F.filter(
-                "spread.ranks", lambda r: (r >= F.col("before")) & (r < F.col("upto"))
-            ).alias("ranks"),
+            (F.sum("held").over(rising) - F.col("held")).alias("before"),
+            F.sum("held").over(rising).alias("upto"),
+            (F.sum("held").over(every) - 1).alias("last"),
         )
+        .select("bucket", "before", "last", F.array_distinct(inside).alias("ranks"))
         .where(F.size("ranks") > 0)
     )
 
@@ -92,49 +88,46 @@ def exact_quantiles(df: DataFrame, column: str, fractions: Sequence[float]) -> D
 
     Missing values do not count; without any value the result is NULL per fraction.
     """
-    value = F.col(column).cast("double")
+    # Missing values become one group of no rows. A filter would be cheaper to read, but Catalyst
+    # would compute a derived column once more for it.
     counted = (
-        df.select(value.alias("value"))
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
+        df.select(F.col(column).cast("double").alias("value"))
+        .select(nan_to_null(F.col("value")).alias("value"))
         .groupBy("value")
-        .agg(F.count("*").alias("rows"))
+        .agg(F.count("value").alias("rows"))
     )
-    wanted = _doubles(fractions)
-    spread = _spread(counted, wanted)
-    bucketed = _with_bucket(counted, spread)
+    wanted = _array([float(f) for f in fractions])
+    bucketed = _with_bucket(counted)
     in_order = (
         Window.partitionBy("bucket")
         .orderBy("value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = (
-        bucketed.join(F.broadcast(_buckets_with_ranks(bucketed, spread)), "bucket")
-        .withColumn("upto", F.col("before") + F.sum("rows").over(in_order))
-        .select(
-            F.explode(
-                F.filter(
-                    "ranks",
-                    lambda r: (r >= F.col("upto") - F.col("rows")) & (r < F.col("upto")),
-                )
-            ).alias("rank"),
-            "value",
-        )
-    )
+    upto = F.col("upto")
+    reached = F.filter("ranks", lambda r: (r >= upto - F.col("rows")) & (r < upto))
     # At most two ranks per fraction are left.
-    at_rank = ranked.agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
-    below = F.try_element_at("at", F.floor("position"))
-    above = F.try_element_at("at", F.ceil("position"))
-    part = F.col("position") - F.floor("position")
-    return (
-        at_rank.select("at", F.explode(wanted).alias("fraction"))
-        .withColumn("spread", spread)
-        .withColumn("position", (F.col("spread.total") - 1) * F.col("fraction"))
+    at_rank = (
+        bucketed.join(F.broadcast(_buckets_with_ranks(bucketed, wanted)), "bucket")
         .select(
-            "fraction",
-            F.when(part < 0.5, below + (above - below) * part)
-            .otherwise(above - (above - below) * (1 - part))
-            .alias("value"),
+            "value", "rows", "ranks", "last",
+            (F.col("before") + F.sum("rows").over(in_order)).alias("upto"),
+        )
+        .select(F.explode(reached).alias("rank"), "value", "last")
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"),
+            F.max("last").alias("last"),
         )
+        .select("at", "last", F.explode(wanted).alias("fraction"))
+    )
+    position = F.col("last") * F.col("fraction")
+    part = position - F.floor(position)
+    below = F.try_element_at("at", F.floor(position))
+    above = F.try_element_at("at", F.ceil(position))
+    return at_rank.select(
+        "fraction",
+        F.when(part < 0.5, below + (above - below) * part)
+        .otherwise(above - (above - below) * (1 - part))
+        .alias("value"),
     )
 
 
@@ -142,7 +135,7 @@ def approximate_quantiles(
     df: DataFrame, column: str, fractions: Sequence[float], accuracy: int = 10_000
 ) -> DataFrame:
     """``fraction, value`` from a sketch: an element of the data, off by 1/accuracy of the rows."""
-    wanted = _doubles(fractions)
+    wanted = _array([float(f) for f in fractions])
     found = F.percentile_approx(nan_to_null(F.col(column).cast("double")), wanted, accuracy)
     pairs = F.arrays_zip(wanted.alias("fraction"), "found")
     return (

@@ -48,7 +48,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     place = F.get(F.array(*[F.lit(p) for p in PLACES]), (F.col("o_custkey") % 20).cast("int"))
     area = F.concat(F.lit("Area "), (F.col("o_custkey") % 7).cast("string"), F.lit(", "))
-    digits = F.split(F.col("o_orderkey").cast("string"), "(?<=.)(?=.)")
+    digits = F.regexp_replace(F.col("o_orderkey").cast("string"), "(?<=.)(?=.)", '", "')
     reviews = F.day(date).cast("bigint") - 1
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("listing_id"),
@@ -75,7 +75,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(status == "O", "Private room")
         .otherwise("Hotel room")
         .alias("property_type"),
-        F.concat(F.lit('["'), F.array_join(digits, '", "'), F.lit('"]')).alias("amenities"),
+        F.concat(F.lit('["'), digits, F.lit('"]')).alias("amenities"),
         F.when(
             (status != "P") | (priority != "1-URGENT"),
             F.concat(F.lit("$"), F.format_number("o_totalprice", 2)),

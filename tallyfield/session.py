@@ -35,9 +35,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     Every executor must be able to read it back, so a machine-local folder is taken only where
     the setting is absent and the whole session lives on one machine.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tallyfield-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
