@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ``cast`` alone also reads "1d", "nan" and "Infinity" as numbers.
-NUMBER = r"\A\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\z"
+NUMBER = r"\A\s*+[+-]?(\d++(\.\d*+)?|\.\d++)([eE][+-]?\d++)?\s*+\z"
 NAN = r"(?i)\A\s*[+-]?nan\s*\z"
 
 

@@ -13,11 +13,12 @@ DIGITS_ONLY = (
     r"\A[\p{Nd}²³¹፩-፱᧚⁰⁴-⁹₀-₉"
     r"①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾"
     r"➀-➈➊-➒\x{10A40}-\x{10A43}\x{10E60}-\x{10E68}\x{11052}-\x{1105A}"
-    r"\x{1F100}-\x{1F10A}]+\z"
+    r"\x{1F100}-\x{1F10A}]++\z"
 )
 # ``^...$`` would also accept a final line break.
-LETTERS_ONLY = r"\A\p{L}+\z"
-TRAILING_SPACE = r"(?U)[\s\x1C-\x1F]+\z"
+LETTERS_ONLY = r"\A\p{L}++\z"
+# Tried only where a run of white space begins, so that long runs inside a text cost no more.
+TRAILING_SPACE = r"(?U)(?<![\s\x1C-\x1F])[\s\x1C-\x1F]++\z"
 
 
 def digits_only(text: Column) -> Column:

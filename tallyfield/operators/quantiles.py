@@ -28,39 +28,43 @@ def _array(values: Sequence[float]) -> Column:
 
 
 def _with_bucket(counted: DataFrame) -> DataFrame:
-    """Adds the number of cut points below the value: by strides first, then within one.
+    """Adds the number of cut points below the value (by strides first, then within one) and a
+    mark of the cut points used.
 
     The cut points are a scalar subquery. It sums the rows only so that it needs the very columns
     the other steps need and shares their shuffle output.
     """
     shares = _array([i / BUCKETS for i in range(1, BUCKETS)])
-    cuts = counted.agg(
-        F.struct(
-            F.percentile_approx("value", shares, ACCURACY).alias("cuts"),
-            F.sum("rows").alias("total"),
+    sketch = (
+        counted.agg(
+            F.percentile_approx("value", shares, ACCURACY).alias("cuts"), F.sum("rows").alias("all")
         )
-    ).scalar()["cuts"]
+        .select(F.struct("cuts", "all", F.xxhash64("cuts").alias("mark")))
+        .scalar()
+    )
 
     def below(positions: Sequence[str]) -> Column:
-        # Plain comparisons, so they are compiled, and never NULL: a join would otherwise test
-        # the bucket for NULL, and Catalyst would push that test, with all of this, under the
-        # aggregation to every row scanned.
+        # Plain comparisons, so they are compiled.
         return F.expr(" + ".join(f"IF(get(cuts, {p}) < value, 1, 0)" for p in positions))
 
+    # The bucket is never NULL: a join would otherwise test it for NULL, and Catalyst would push
+    # that test, with all of this, under the aggregation to every row scanned.
     return (
-        counted.withColumn("cuts", cuts)
+        counted.withColumn("sketch", sketch)
+        .select("value", "rows", "sketch.cuts", "sketch.mark")
         .withColumn("hop", STRIDE * below([str(i) for i in range(STRIDE - 1, BUCKETS - 1, STRIDE)]))
         .select(
             "value",
             "rows",
             (F.col("hop") + below([f"hop + {i}" for i in range(STRIDE)])).alias("bucket"),
+            "mark",
         )
     )
 
 
 def _buckets_with_ranks(bucketed: DataFrame, wanted: Column) -> DataFrame:
-    """``bucket, before, last, ranks``: the buckets that hold a rank next to a wanted position,
-    the rows before them, and the last rank of all. At most ``BUCKETS`` rows."""
+    """``bucket, made_with, before, last, ranks``: the buckets that hold a rank next to a wanted
+    position, the rows before them, and the last rank of all. At most ``BUCKETS`` rows."""
     # The one window without a partition: it runs over bucket totals, at most BUCKETS rows.
     rising = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.orderBy("bucket").rowsBetween(
@@ -70,15 +74,16 @@ def _buckets_with_ranks(bucketed: DataFrame, wanted: Column) -> DataFrame:
     nearest = F.flatten(F.transform(wanted, lambda f: F.array(F.floor(last * f), F.ceil(last * f))))
     inside = F.filter(nearest, lambda r: (r >= F.col("before")) & (r < F.col("upto")))
     return (
-        bucketed.groupBy("bucket")
+        bucketed.groupBy("bucket", "mark")
         .agg(F.sum("rows").alias("held"))
         .select(
             "bucket",
+            F.col("mark").alias("made_with"),
             (F.sum("held").over(rising) - F.col("held")).alias("before"),
             F.sum("held").over(rising).alias("upto"),
             (F.sum("held").over(every) - 1).alias("last"),
         )
-        .select("bucket", "before", "last", F.array_distinct(inside).alias("ranks"))
+        .select("bucket", "made_with", "before", "last", F.array_distinct(inside).alias("ranks"))
         .where(F.size("ranks") > 0)
     )
 
@@ -105,14 +110,20 @@ def exact_quantiles(df: DataFrame, column: str, fractions: Sequence[float]) -> D
     )
     upto = F.col("upto")
     reached = F.filter("ranks", lambda r: (r >= upto - F.col("rows")) & (r < upto))
-    # At most two ranks per fraction are left.
+    # Totals and values are bucketed by one sketch, as Spark evaluates equal subqueries once. Where
+    # that is turned off, two sketches may cut elsewhere; then fail, rather than mix their buckets.
+    same_cuts = F.when(F.col("mark") == F.col("made_with"), F.col("value")).otherwise(
+        F.raise_error(F.lit("quantile buckets made with different cut points")).cast("double")
+    )
     at_rank = (
         bucketed.join(F.broadcast(_buckets_with_ranks(bucketed, wanted)), "bucket")
+        .select("bucket", same_cuts.alias("value"), "rows", "before", "ranks", "last")
         .select(
             "value", "rows", "ranks", "last",
             (F.col("before") + F.sum("rows").over(in_order)).alias("upto"),
         )
         .select(F.explode(reached).alias("rank"), "value", "last")
+        # At most two ranks per fraction are left.
         .agg(
             F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"),
             F.max("last").alias("last"),

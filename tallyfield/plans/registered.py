@@ -156,7 +156,7 @@ def q15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    token = F.get(F.split("text", " ", 2), 0)
+    token = first_part(F.col("text"), " ")
     kind = first_rule(
         [
             (token.isNull(), "Missing"),

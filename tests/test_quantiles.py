@@ -81,3 +81,15 @@ def test_top_flagged(spark):
     )
     top = quantiles.top_flagged(df, "f", "Outlier", "n", 2, "id")
     assert [r.id for r in top.collect()] == [3, 4]
+
+
+@pytest.mark.parametrize("setting", ["spark.sql.adaptive.enabled", "spark.sql.exchange.reuse"])
+def test_without_shared_stages(spark, setting):
+    values = np.random.default_rng(4).random(5000)
+    before = spark.conf.get(setting, "true")
+    spark.conf.set(setting, "false")
+    try:
+        rows = quantiles.percentile_table(frame(spark, values), "x").collect()
+    finally:
+        spark.conf.set(setting, before)
+    assert [r.value for r in rows] == list(np.percentile(values, PERCENTS))

@@ -242,3 +242,9 @@ def test_missing_tokens(spark):
         " ",
         None,
     ]
+
+
+def test_long_runs_of_space_and_digits_are_quick(spark):
+    long = " " * 300_000 + "x"
+    assert apply(spark, [long], text.strip_end) == [long]
+    assert apply(spark, ["1" * 300_000 + "x"], numbers.money_lenient) == [None]
