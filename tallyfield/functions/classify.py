@@ -41,7 +41,8 @@ def _any_of(names: Sequence[str]) -> str:
 
 
 def _literals(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """A constant array; split from one literal, which is folded and far quicker to build."""
+    return F.split(F.lit("\n".join(values)), "\n")
 
 
 def _ranked(tiers: Sequence[tuple[Sequence[str], str | None]]) -> dict[str, str]:
