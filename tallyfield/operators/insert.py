@@ -12,7 +12,8 @@ def new_rows(table: DataFrame, batch: DataFrame, key: str, seq: str) -> DataFram
     ``seq`` gives the order of the batch and is not part of the result. The first row per key is
     a minimum, combined before the shuffle, so one key may fill a third of the batch; a row number
     per key would bring all its rows to one task. The anti join reads only the key of the table
-    and needs no further shuffle of the batch. A missing key fails the query.
+    and needs no further shuffle of the batch. A missing key fails the query. All columns must have
+    an order (no maps), which makes the choice the same each time a task is run again.
     """
     payload = [c for c in batch.columns if c not in (key, seq)]
     present = F.when(

@@ -240,7 +240,7 @@ def q18d_outliers_by_district(df: DataFrame) -> DataFrame:
 
 
 def q18e_most_reviewed(df: DataFrame, k: int = 10, tie_break: str = "listing_id") -> DataFrame:
-    """The k most reviewed outliers."""
+    """The k most reviewed outliers; ``tie_break`` names a column that tells listings apart."""
     return quantiles.top_flagged(
         with_outliers(df), "outlier_check", "Outlier", "number_of_reviews", k, tie_break
     )
