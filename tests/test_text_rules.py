@@ -99,6 +99,10 @@ AMENITIES = {
     "[]": 0,
     '["a, b", "[c]"]': 2,
     None: None,
+    '["a"]\n': 1,
+    '["a"] x': None,
+    '["a"': None,
+    '{"a": 1}': None,
     "not a list": None,
     "": None,
 }
