@@ -1,0 +1,39 @@
+"""An expensive function of a text column, evaluated once per distinct text."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Room for the texts and their results in every executor.
+MOST_BYTES = 64 * 1024 * 1024
+MOST_VALUES = 500_000
+
+
+def once_per_value(
+    df: DataFrame,
+    column: str,
+    name: str,
+    function: Callable[[Column], Column],
+    most_values: int = MOST_VALUES,
+    most_bytes: int = MOST_BYTES,
+) -> DataFrame:
+    """``df`` with ``name`` = ``function(column)``; NULL where the column is NULL.
+
+    The distinct texts are counted and measured first, which reads only this column. If they are
+    few, the function runs once per text and the results are broadcast to the rows; else it runs
+    on every row, without a shuffle. Worth it where the function costs more than reading the
+    column twice; a report that groups by the column should apply the function after grouping.
+    """
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    size = values.agg(
+        F.count("*").alias("values"),
+        F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("bytes"),
+    ).first()
+    if size["values"] > most_values or size["bytes"] > most_bytes:
+        result = F.when(F.col(column).isNotNull(), function(F.col(column)))
+        return df.withColumn(name, result)
+    results = values.select(column, function(F.col(column)).alias(name))
+    return df.join(F.broadcast(results), column, "left").select(*df.columns, name)

@@ -14,7 +14,7 @@ from tallyfield.functions.classify import country_of, license_category
 from tallyfield.functions.missing import nan_to_null
 from tallyfield.functions.numbers import money_lenient, money_strict
 from tallyfield.functions.text import contains_any, first_part, list_length
-from tallyfield.operators import groups, inspect, quantiles
+from tallyfield.operators import groups, inspect, lookup, quantiles
 
 BY_EMAIL = ["email", "work_email"]
 
@@ -38,6 +38,13 @@ def enriched(df: DataFrame) -> DataFrame:
     )
 
 
+def with_country(df: DataFrame, match: str = "list_order", **limits: int) -> DataFrame:
+    """Adds ``clean_country`` to each listing, looked up once per location where they are few."""
+    return lookup.once_per_value(
+        df, "host_location", "clean_country", lambda c: country_of(c, match), **limits
+    )
+
+
 def q1_rows(df: DataFrame) -> DataFrame:
     return inspect.row_count(df)
 

@@ -377,6 +377,10 @@ def _most_reviewed(df: DataFrame) -> DataFrame:
     return top.withColumn("amenities_count", F.col("amenities_count").cast("bigint"))
 
 
+def _countries(**limits: int) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: reports.with_country(df, **limits).select("listing_id", "clean_country")
+
+
 QUERIES: dict[str, Query] = {
     "q1": q1,
     "q2": q2,
@@ -450,6 +454,8 @@ QUERIES: dict[str, Query] = {
     "listings_q17c_intended": _on_listings(
         lambda df: reports.q17c_countries(df, match="longest_word", leave_out="SPAIN")
     ),
+    "listings_country": _on_listings(_countries()),
+    "listings_country_by_row": _on_listings(_countries(most_values=0)),
     "listings_q18a": _on_listings(
         lambda df: _rounded(reports.q18a_percentiles(df), 6, "price")
     ),

@@ -240,6 +240,14 @@ SQL: dict[str, str] = {
            WHERE clean_country <> 'SPAIN' GROUP BY 1""",
         _LOCATED_BY_WORD,
     ),
+    **dict.fromkeys(
+        ["listings_country", "listings_country_by_row"],
+        _listings(
+            """SELECT listing_id, clean_country
+               FROM listings LEFT JOIN located USING (host_location)""",
+            _LOCATED,
+        ),
+    ),
     "listings_q18a": _listings(
         f"""SELECT unnest(range(1, 101)) AS percentile, round(unnest(q), 6) AS price
             FROM (SELECT quantile_cont(price, {_PERCENTS}) AS q FROM listings)"""
