@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -30,14 +29,9 @@ def local_session(
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written table, under the folder named in ``spark.checkpoint.dir``.
-
-    Every executor must be able to read it back, so a machine-local folder is taken only where
-    the setting is absent and the whole session lives on one machine.
-    """
+    """A fresh path for a written table that every executor can read back: under the folder named
+    in ``spark.checkpoint.dir``, or, where that is not set, under the session's warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tallyfield-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
