@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__
+from tallyfield.plans import registered, registered_sql
 from tests.compare import database, difference
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +13,7 @@ def con():
     return database(SF)
 
 
-@pytest.mark.parametrize("name", list(__spark_entry__.queries()))
+@pytest.mark.parametrize("name", list(registered.QUERIES))
 def test_same_as_sql(spark, con, name):
-    result = __spark_entry__.queries()[name](spark, SF)
-    assert difference(result, con, __spark_entry__.oracle_sql()[name]) is None
+    result = registered.QUERIES[name](spark, SF)
+    assert difference(result, con, registered_sql.SQL[name]) is None
