@@ -4,28 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.llm import mixing, sharding
+from tallyfield.llm import decontaminate, mixing, near_dedup, quality, sharding
 from tallyfield.llm.common import stored, table
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five words, similarity 0.8."""
+    return near_dedup.without_near_duplicates(docs)
+
+
+def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.without_items(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in their target shares: documents repeated or left out."""
     return mixing.mixed_documents(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their shard."""
     return sharding.assign(docs)
 
 
-STAGES = [("mixing", mixed), ("sharding", sharded)]
+STAGES = [
+    ("quality classifier", good),
+    ("near dedup", apart),
+    ("decontamination", untested),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
-    name, stage = STAGES[-1]
-    return stage(spark, docs, sf_dir)
+    _, last = STAGES[-1]
+    return last(spark, docs, sf_dir)
 
 
-# The quality classifier's scores can't be had in SQL.
+# SQL cannot express the classifier's scores; tests/llm holds the later stages against plain versions.
 ORACLE_SQL = None

@@ -5,8 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import line_dedup, mixing, sharding
+from tallyfield.llm import (
+    ann, decontaminate, line_dedup, mixing, near_dedup, pii, quality, records, sharding, toxicity,
+)
 from tallyfield.llm.common import table
+from tallyfield.session import scratch_path
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = [f"n_{kind}" for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_found")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, share=(85, 100))
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, index = scratch_path(spark, "records"), scratch_path(spark, "records-index")
+    records.write_records(table(spark, sf_dir, "documents"), path)
+    records.write_index(spark, path, index)
+    found = records.read_records(spark, path, index, shuffle_seed=5)
+    tokens = F.octet_length("ids") / 4
+    return found.select(
+        "doc_id", "start", tokens.cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +46,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return placed.select("doc_id", "shard", "depth", "piece", "n_bytes", "shard_bytes")
@@ -23,12 +59,72 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_toxicity": op2_toxicity,
+    "op3_near_dedup": op3_near_dedup,
+    "op4_ann": op4_ann,
+    "op5_records": op5_records,
     "op6_line_dedup": op6_line_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
+    "op10_quality": op10_quality,
 }
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+')"
+
+
+def _shingles_sql(table_name: str, key: str, width: int) -> str:
+    """Distinct (key, shingle) of a table; fewer words than ``width`` are one shingle."""
+    return f"""
+  SELECT DISTINCT {key}, array_to_string(w[i:least(i + {width} - 1, len(w))], ' ') AS s
+  FROM (SELECT {key}, w, unnest(range(1, greatest(1, len(w) - {width} + 1) + 1)) AS i
+        FROM (SELECT {key}, {_WORDS} AS w FROM {table_name}) WHERE len(w) > 0)"""
+
+
+OP3_SQL = f"""
+WITH RECURSIVE sets AS MATERIALIZED ({_shingles_sql("documents", "doc_id", 3)}
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), rare AS (
+  SELECT s, count(*) AS c FROM sets GROUP BY s
+), ranked AS (
+  -- Sets this similar share one of their rarest shingles.
+  SELECT doc_id, s, n, row_number() OVER (PARTITION BY doc_id ORDER BY c, s) AS r
+  FROM sets JOIN rare USING (s) JOIN sizes USING (doc_id)
+), firsts AS (SELECT * FROM ranked WHERE r <= n - ceil(0.85 * n) + 1
+), pairs AS (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb
+  FROM firsts a JOIN firsts b ON a.s = b.s AND a.doc_id < b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+), links AS MATERIALIZED (
+  SELECT a, b FROM pairs p JOIN sets x ON x.doc_id = p.a JOIN sets y ON y.doc_id = p.b AND y.s = x.s
+  GROUP BY a, b, na, nb HAVING 100 * count(*) >= 85 * (na + nb - count(*))
+), both_ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT a AS doc_id, a AS c FROM both_ways
+  UNION
+  SELECT b, c FROM reach JOIN both_ways ON a = doc_id
+), component AS (SELECT doc_id, min(c) AS c FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id,
+       coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN component USING (doc_id)
+"""
+
+OP7_SQL = f"""
+WITH docs AS ({_shingles_sql("documents", "doc_id", 5)}
+), items AS ({_shingles_sql("benchmark", "item_id", 5)}
+), sizes AS (SELECT item_id, count(*) AS n FROM items GROUP BY item_id)
+SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, n::BIGINT AS n_shingles
+FROM docs JOIN items USING (s) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n
+"""
+
 OP6_SQL = r"""
 WITH lines AS (
   SELECT doc_id, n, pos, line,
@@ -114,4 +210,10 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-SQL = {"op6_line_dedup": OP6_SQL, "op8_sharding": op8_sql(), "op9_mixing": OP9_SQL}
+SQL = {
+    "op3_near_dedup": OP3_SQL,
+    "op6_line_dedup": OP6_SQL,
+    "op7_decontaminate": OP7_SQL,
+    "op8_sharding": op8_sql(),
+    "op9_mixing": OP9_SQL,
+}
