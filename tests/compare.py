@@ -20,6 +20,7 @@ DUCK_TYPE = {
     "double": "DOUBLE",
     "string": "VARCHAR",
     "date": "DATE",
+    "boolean": "BOOLEAN",
 }
 
 
