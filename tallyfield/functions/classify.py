@@ -100,6 +100,7 @@ def country_of(location: Column, match: str = "list_order") -> Column:
 
 def license_category(license: Column) -> Column:
     """The kind of a license text, by its first fitting form."""
+    # The labels and the beginnings that tell them.
     return first_rule(
         [
             (license.isNull(), "Missing"),

@@ -16,7 +16,8 @@ def plain_digits(money: Column) -> Column:
 
 
 def money_lenient(money: Column) -> Column:
-    """The amount as a double; text that is not a number becomes NULL (so do inf and nan)."""
+    """The amount as a double; text that is not a number becomes NULL, as do the
+    words inf and nan. Digits beyond the range of a double, such as 1e400, become infinity."""
     text = plain_digits(money)
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 

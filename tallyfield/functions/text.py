@@ -57,10 +57,12 @@ def first_match(text: Column, pattern: str, default: str | None = None) -> Colum
 def list_length(text: Column) -> Column:
     """Number of elements of a list written as text: ``["Wifi", 'TV']`` is 2.
 
-    Single and double quotes and backslash escapes are read. NULL for missing or malformed text.
-    Counting without building the elements comes first; it does not know every escape.
+    Single and double quotes and backslash escapes are read. NULL for missing or malformed text. A
+    JSON reader stops at the bracket that closes what it reads, so the text is read inside an object,
+    where nothing may follow the list, and inside an array, where the list must be the only element.
     """
-    parsed = F.from_json(text, "array<string>", {"allowBackslashEscapingAnyCharacter": "true"})
-    # Both readers stop at the closing bracket, so what follows it is looked at here.
-    closed = F.rtrim(text, F.lit(" \t\r\n")).endswith("]")
-    return F.when(closed, F.coalesce(F.json_array_length(text), F.array_size(parsed)))
+    options = {"allowBackslashEscapingAnyCharacter": "true"}
+    inside = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v array<string>", options)["v"]
+    only = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<array<string>>", options)
+    alone = (F.array_size(only) == 1) & F.get(only, F.lit(0)).isNotNull()
+    return F.when(inside.isNotNull() & alone, F.array_size(F.get(only, F.lit(0))))

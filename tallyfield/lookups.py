@@ -32,6 +32,7 @@ COUNTRIES = [
     "VENEZUELA", "VIETNAM", "YEMEN", "ZAMBIA", "ZIMBABWE",
 ]
 
+# Names of states, in upper case.
 US_STATES = [
     "ALABAMA", "ALASKA", "ARIZONA", "ARKANSAS", "CALIFORNIA", "COLORADO", "CONNECTICUT",
     "DELAWARE", "FLORIDA", "GEORGIA", "HAWAII", "IDAHO", "ILLINOIS", "INDIANA", "IOWA", "KANSAS",
@@ -43,6 +44,7 @@ US_STATES = [
     "DISTRICT OF COLUMBIA",
 ]
 
+# Two-letter codes of states.
 US_STATE_CODES = [
     "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA",
     "KS", "KY", "LA", "ME", "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ",

@@ -6,13 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def row_count(df: DataFrame, name: str = "n_rows") -> DataFrame:
     return df.agg(F.count("*").alias(name))
 
 
 def schema_table(df: DataFrame) -> DataFrame:
-    """One row per column, with its type; no data is read."""
-    return df.sparkSession.createDataFrame(df.dtypes, "`column` string, dtype string")
+    """One row per column: its name, its type, and how many of its values are present. One scan,
+    combined before the shuffle; a table without rows still has its columns."""
+    counts = df.agg(*[F.count(F.col(_quoted(c))).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    rows = [
+        F.struct(F.lit(c).alias("column"), F.lit(kind).alias("dtype"), F.col(f"c{i}").alias("n_present"))
+        for i, (c, kind) in enumerate(df.dtypes)
+    ]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def column_count(df: DataFrame, name: str = "n_cols") -> DataFrame:

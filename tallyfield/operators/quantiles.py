@@ -2,14 +2,15 @@
 
 The built-in ``percentile`` keeps every distinct value in one task. Here the values are first
 counted per distinct value (so a value shared by a third of the rows becomes one row), then put
-into buckets cut at approximate quantiles of the distinct values. The bucket totals, at most
-``BUCKETS`` rows, tell which buckets hold the wanted ranks; only those are sorted, each in a task
+into buckets cut at approximate quantiles of the distinct values. The bucket totals, one row per
+bucket, tell which buckets hold the wanted ranks; only those are sorted, each in a task
 of its own. The cut points decide how even the buckets are, never the result. All steps read the
 same shuffle output, so the table is scanned once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,27 +18,36 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.missing import nan_to_null
 
-STRIDE = 16
-BUCKETS = STRIDE * STRIDE
-# percentile_approx is off by at most 1/accuracy of the rows: a tenth of a bucket on either side.
-ACCURACY = 10 * BUCKETS
+# Buckets per shuffle partition, unless told otherwise: enough that uneven ones do not matter.
+BUCKETS_PER_PARTITION = 4
+
+
+def bucket_stride(df: DataFrame, buckets: int | None) -> int:
+    """The square root of the number of buckets, rounded up. By default the number follows the
+    shuffle partitions of the session, hence the cluster."""
+    if buckets is None:
+        buckets = BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, math.isqrt(max(buckets, 1) - 1) + 1)
 
 
 def _array(values: Sequence[float]) -> Column:
     return F.expr("array(" + ", ".join(f"{v!r}{'D' * isinstance(v, float)}" for v in values) + ")")
 
 
-def _with_bucket(counted: DataFrame) -> DataFrame:
+def _with_bucket(counted: DataFrame, stride: int) -> DataFrame:
     """Adds the number of cut points below the value (by strides first, then within one) and a
     mark of the cut points used.
 
     The cut points are a scalar subquery. It sums the rows only so that it needs the very columns
     the other steps need and shares their shuffle output.
     """
-    shares = _array([i / BUCKETS for i in range(1, BUCKETS)])
+    buckets = stride * stride
+    shares = _array([i / buckets for i in range(1, buckets)])
+    # percentile_approx is off by at most 1/accuracy of the rows: a tenth of a bucket on either side.
+    accuracy = 10 * buckets
     sketch = (
         counted.agg(
-            F.percentile_approx("value", shares, ACCURACY).alias("cuts"), F.sum("rows").alias("all")
+            F.percentile_approx("value", shares, accuracy).alias("cuts"), F.sum("rows").alias("all")
         )
         .select(F.struct("cuts", "all", F.xxhash64("cuts").alias("mark")))
         .scalar()
@@ -52,11 +62,11 @@ def _with_bucket(counted: DataFrame) -> DataFrame:
     return (
         counted.withColumn("sketch", sketch)
         .select("value", "rows", "sketch.cuts", "sketch.mark")
-        .withColumn("hop", STRIDE * below([str(i) for i in range(STRIDE - 1, BUCKETS - 1, STRIDE)]))
+        .withColumn("hop", stride * below([str(i) for i in range(stride - 1, buckets - 1, stride)]))
         .select(
             "value",
             "rows",
-            (F.col("hop") + below([f"hop + {i}" for i in range(STRIDE)])).alias("bucket"),
+            (F.col("hop") + below([f"hop + {i}" for i in range(stride)])).alias("bucket"),
             "mark",
         )
     )
@@ -64,8 +74,8 @@ def _with_bucket(counted: DataFrame) -> DataFrame:
 
 def _buckets_with_ranks(bucketed: DataFrame, wanted: Column) -> DataFrame:
     """``bucket, made_with, before, last, ranks``: the buckets that hold a rank next to a wanted
-    position, the rows before them, and the last rank of all. At most ``BUCKETS`` rows."""
-    # The one window without a partition: it runs over bucket totals, at most BUCKETS rows.
+    position, the rows before them, and the last rank of all. One row per bucket at most."""
+    # The one window without a partition: it runs over bucket totals, a few per shuffle partition.
     rising = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.orderBy("bucket").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
@@ -88,10 +98,14 @@ def _buckets_with_ranks(bucketed: DataFrame, wanted: Column) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, fractions: Sequence[float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, column: str, fractions: Sequence[float], buckets: int | None = None
+) -> DataFrame:
     """``fraction, value``, interpolated linearly between the two nearest ranks.
 
-    Missing values do not count; without any value the result is NULL per fraction.
+    Missing values do not count; without any value the result is NULL per fraction. ``buckets`` is
+    how many tasks may share the sorting, rounded up to a square number; by default it is four times
+    the session's shuffle partitions. It never changes the result.
     """
     # Missing values become one group of no rows. A filter would be cheaper to read, but Catalyst
     # would compute a derived column once more for it.
@@ -102,7 +116,7 @@ def exact_quantiles(df: DataFrame, column: str, fractions: Sequence[float]) -> D
         .agg(F.count("value").alias("rows"))
     )
     wanted = _array([float(f) for f in fractions])
-    bucketed = _with_bucket(counted)
+    bucketed = _with_bucket(counted, bucket_stride(df, buckets))
     in_order = (
         Window.partitionBy("bucket")
         .orderBy("value")
@@ -156,9 +170,11 @@ def approximate_quantiles(
     )
 
 
-def percentile_table(df: DataFrame, column: str, name: str = "value") -> DataFrame:
+def percentile_table(
+    df: DataFrame, column: str, name: str = "value", buckets: int | None = None
+) -> DataFrame:
     """``percentile`` 1 to 100 and the value at it, in order."""
-    table = exact_quantiles(df, column, [k / 100 for k in range(1, 101)])
+    table = exact_quantiles(df, column, [k / 100 for k in range(1, 101)], buckets)
     return table.select(
         F.round(F.col("fraction") * 100).cast("bigint").alias("percentile"),
         F.col("value").alias(name),

@@ -14,7 +14,7 @@ from tallyfield.functions.classify import country_of, license_category
 from tallyfield.functions.missing import nan_to_null
 from tallyfield.functions.numbers import money_lenient, money_strict
 from tallyfield.functions.text import contains_any, first_part, list_length
-from tallyfield.operators import groups, inspect, lookup, quantiles
+from tallyfield.operators import groups, inspect, quantiles
 
 BY_EMAIL = ["email", "work_email"]
 
@@ -27,22 +27,28 @@ def districts(df: DataFrame) -> DataFrame:
 
 
 def enriched(df: DataFrame) -> DataFrame:
-    """Adds every derived column. A report reads only the ones it uses; the rest are pruned."""
-    return df.withColumns(
-        {
-            "cleaned_price": money_lenient(F.col("price")),
-            "amenities_count": list_length(F.col("amenities")),
-            "license_category": license_category(F.col("license")),
-            "clean_country": country_of(F.col("host_location")),
-        }
-    )
-
-
-def with_country(df: DataFrame, match: str = "list_order", **limits: int) -> DataFrame:
-    """Adds ``clean_country`` to each listing, looked up once per location where they are few."""
-    return lookup.once_per_value(
-        df, "host_location", "clean_country", lambda c: country_of(c, match), **limits
-    )
+    """Adds every derived column that is not there yet. A report reads only the ones it uses; the
+    rest are pruned. A table stored by ``store_enriched`` passes as it is, without parsing again."""
+    derived = {
+        "cleaned_price": money_lenient(F.col("price")),
+        "amenities_count": list_length(F.col("amenities")),
+        "license_category": license_category(F.col("license")),
+        "clean_country": country_of(F.col("host_location")),
+    }
+    return df.withColumns({c: e for c, e in derived.items() if c not in df.columns})
+
+
+def store_enriched(df: DataFrame, path: str) -> DataFrame:
+    """Writes the enriched table once and returns it as stored; the reports read it like the plain
+    one."""
+    table = enriched(df)
+    table.write.parquet(path)
+    return df.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def with_country(df: DataFrame, match: str = "list_order") -> DataFrame:
+    """Adds (or replaces) ``clean_country``, row by row: no shuffle, whatever the locations."""
+    return df.withColumn("clean_country", country_of(F.col("host_location"), match))
 
 
 def q1_rows(df: DataFrame) -> DataFrame:

@@ -75,6 +75,10 @@ flagged AS (
 """
 _ORDER_FLAG = """CASE WHEN o_totalprice > (SELECT quantile_cont(o_totalprice, 0.99) FROM orders)
                       THEN 'Outlier' ELSE 'Good' END"""
+LINEITEM = (
+    "l_orderkey l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax "
+    "l_returnflag l_linestatus l_shipdate"
+).split()
 _PERCENTS = "[" + ", ".join(str(k / 100) for k in range(1, 101)) + "]"
 _BOOK_JSON = """to_json(struct_pack(id := id, title := title, author := author, "year" := "year"))"""
 
@@ -128,10 +132,12 @@ SQL: dict[str, str] = {
                 FROM orders GROUP BY 1, 2""",
     "q18d": f"SELECT {_ORDER_FLAG} AS f, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2",
     "q18e": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 2 DESC, 1 LIMIT 10",
-    "schema_table": """SELECT column_name AS "column", CASE data_type
+    "schema_table": f"""SELECT "column", CASE kind
           WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
-          WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS dtype
-        FROM information_schema.columns WHERE table_name = 'lineitem'""",
+          WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS dtype, n_present
+        FROM ({" UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", typeof(any_value({c})) AS kind, count({c}) AS n_present FROM lineitem"
+            for c in LINEITEM)})""",
     "head": """SELECT o_orderkey, o_custkey, o_orderpriority FROM orders
                ORDER BY o_orderkey LIMIT 5""",
     "value_counts": """SELECT event_type, count(*) AS n FROM events
@@ -157,6 +163,9 @@ SQL: dict[str, str] = {
         FROM pages""",
     "csv_scan": f"""SELECT doc_id, lang, source, n_chars,
         CASE WHEN text NOT IN ({_texts(NA_TOKENS)}) THEN md5(text) END AS hash FROM documents""",
+    "csv_inferred": """SELECT 1003253567000000000 + o_orderkey AS id, o_orderstatus = 'F' AS finished,
+        o_totalprice AS price, nullif(o_orderpriority, '5-LOW') AS priority FROM orders""",
+    "csv_parquet": "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer",
     "books_b1": _books("SELECT * FROM books"),
     "books_b1_bucketed": _books("SELECT * FROM books"),
     "books_b2": _books(f"SELECT CAST({_BOOK_JSON} AS VARCHAR) AS json FROM books"),
@@ -165,12 +174,17 @@ SQL: dict[str, str] = {
         SELECT 1, id, CAST({_BOOK_JSON} AS VARCHAR) ||
           CASE WHEN id = (SELECT max(id) FROM books) THEN '' ELSE ',' END
         FROM books UNION ALL SELECT 2, NULL, ']'"""),
+    "books_seeded": _books("""SELECT * FROM books WHERE id NOT IN (1, 2) UNION ALL
+        SELECT * FROM (VALUES (1::BIGINT, '1984', 'George Orwell', 1949::BIGINT),
+                              (2, 'Dune', 'Frank Herbert', 1965))"""),
     "books_b3": _books("SELECT * FROM books"),
+    "books_b3_array": _books("SELECT * FROM books"),
     "books_b3_responses": _books("SELECT * FROM books"),
     "books_b4": """SELECT doc_id, coalesce(nullif(
         regexp_extract(text, 'https?://[-a-z0-9.]+', 0), ''),
         'Still starting… re-run this cell.') AS url FROM documents""",
     "listings_q1": _listings("SELECT count(*) AS n_rows FROM listings"),
+    "listings_q2": "SELECT CAST(18 AS BIGINT) AS n_cols",
     "listings_q3": _listings("SELECT count(DISTINCT host_id) AS n_hosts FROM listings"),
     "listings_q4_counts": _listings("""SELECT host_id, host_name, count(*) AS listing_count
         FROM listings WHERE host_name IS NOT NULL GROUP BY 1, 2"""),
@@ -208,7 +222,7 @@ SQL: dict[str, str] = {
     "listings_q13_intended": _listings("""SELECT count(DISTINCT host_id) AS n_hosts FROM listings
         WHERE host_verifications IS NULL OR NOT contains(host_verifications, 'email')"""),
     "listings_q14": _listings("""SELECT max(amenities_count) AS max_amenities,
-        CAST(0 AS BIGINT) AS n_unread FROM listings"""),
+        count(*) - count(amenities_count) AS n_unread FROM listings"""),
     "listings_q15": _listings("""SELECT registered_year, n FROM (
           SELECT CAST(year(host_since) AS VARCHAR) AS registered_year, count(*) AS n,
                  rank() OVER (ORDER BY count(*) DESC) AS r
@@ -252,14 +266,14 @@ SQL: dict[str, str] = {
         f"""SELECT unnest(range(1, 101)) AS percentile, round(unnest(q), 6) AS price
             FROM (SELECT quantile_cont(price, {_PERCENTS}) AS q FROM listings)"""
     ),
-    "listings_q18b": _listings(
+    **dict.fromkeys(["listings_q18b", "listings_q18b_stored"], _listings(
         """SELECT outlier_check, round(avg(price), 4) AS mean_price, count(price) AS n_price,
              round(avg(number_of_reviews), 4) AS mean_reviews,
              round(avg(amenities_count), 4) AS mean_amenities,
              round(avg(occupancy), 4) AS mean_occupancy
            FROM flagged GROUP BY 1""",
         _FLAGGED,
-    ),
+    )),
     "listings_q18c": _listings(
         "SELECT outlier_check, property_type, count(*) AS n FROM flagged GROUP BY 1, 2",
         _FLAGGED,

@@ -23,6 +23,10 @@ PLACES = [
 ]
 
 
+# Texts that are no list, by the last two digits of the order key.
+NO_LISTS = {7: '["a"] x]', 34: '["a"]]', 67: '["a"],["b"]', 99: "none"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,6 +53,11 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.get(F.array(*[F.lit(p) for p in PLACES]), (F.col("o_custkey") % 20).cast("int"))
     area = F.concat(F.lit("Area "), (F.col("o_custkey") % 7).cast("string"), F.lit(", "))
     digits = F.regexp_replace(F.col("o_orderkey").cast("string"), "(?<=.)(?=.)", '", "')
+    last_two = F.col("o_orderkey") % 100
+    broken = reduce(
+        lambda chain, k: chain.when(last_two == k, NO_LISTS[k]), list(NO_LISTS)[1:],
+        F.when(last_two == 7, NO_LISTS[7]),
+    )
     reviews = F.day(date).cast("bigint") - 1
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("listing_id"),
@@ -75,7 +84,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(status == "O", "Private room")
         .otherwise("Hotel room")
         .alias("property_type"),
-        F.concat(F.lit('["'), digits, F.lit('"]')).alias("amenities"),
+        F.coalesce(broken, F.concat(F.lit('["'), digits, F.lit('"]'))).alias("amenities"),
         F.when(
             (status != "P") | (priority != "1-URGENT"),
             F.concat(F.lit("$"), F.format_number("o_totalprice", 2)),
@@ -121,7 +130,8 @@ listings AS (
     nullif(substr(o_orderpriority, 3), 'NOT SPECIFIED') AS district,
     CASE o_orderstatus WHEN 'F' THEN 'Entire home' WHEN 'O' THEN 'Private room'
       ELSE 'Hotel room' END AS property_type,
-    length(CAST(o_orderkey AS VARCHAR)) AS amenities_count,
+    CASE WHEN o_orderkey % 100 NOT IN ({", ".join(map(str, NO_LISTS))})
+         THEN length(CAST(o_orderkey AS VARCHAR)) END AS amenities_count,
     CASE WHEN o_orderstatus <> 'P' OR o_orderpriority <> '1-URGENT' THEN o_totalprice END AS price,
     day(o_orderdate) - 1 AS number_of_reviews,
     CASE WHEN day(o_orderdate) > 1 THEN month(o_orderdate) * 0.25::DOUBLE END AS reviews_per_month,

@@ -4,37 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import (
+    BooleanType, DataType, DoubleType, LongType, StringType, StructField, StructType,
+)
 
 from tallyfield.functions.missing import tokens_to_null
 from tallyfield.functions.numbers import NUMBER
 
-WHOLE_NUMBER = r"\A\s*[+-]?\d{1,18}\s*\z"
+WHOLE_NUMBER = r"\A\s*+[+-]?\d++\s*+\z"
+TRUTH = r"(?i)\A(true|false)\z"
 
 
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def _type_of(kind) -> DataType:
+    if kind.truth:
+        return BooleanType()
+    if kind.whole and kind.fits:
+        return LongType()
+    return DoubleType() if kind.number and kind.fits else StringType()
+
+
 def inferred_types(text: DataFrame) -> StructType:
-    """The narrowest of long, double, string that holds every value of each column, in one scan."""
-    kinds = text.agg(
-        *[
+    """The narrowest of boolean, long, double, string that holds every value of each column, in one
+    scan. A column with a whole number too long for a long stays text: a double would round it."""
+    kinds = []
+    for i, name in enumerate(text.columns):
+        value = F.col(_quoted(name))
+        whole = value.rlike(WHOLE_NUMBER)
+        kinds.append(
             F.struct(
-                F.bool_and(F.col(_quoted(c)).rlike(WHOLE_NUMBER)).alias("whole"),
-                F.bool_and(F.col(_quoted(c)).rlike(NUMBER)).alias("number"),
+                F.bool_and(value.rlike(TRUTH)).alias("truth"),
+                F.bool_and(whole).alias("whole"),
+                F.bool_and(F.when(whole, value.try_cast("bigint").isNotNull()).when(value.isNotNull(), True)).alias("fits"),
+                F.bool_and(value.rlike(NUMBER)).alias("number"),
             ).alias(f"c{i}")
-            for i, c in enumerate(text.columns)
-        ]
-    ).first()
+        )
+    found = text.agg(*kinds).first()
     return StructType(
-        [
-            StructField(
-                c,
-                LongType() if kind.whole else DoubleType() if kind.number else StringType(),
-            )
-            for c, kind in zip(text.columns, kinds, strict=True)
-        ]
+        [StructField(c, _type_of(kind)) for c, kind in zip(text.columns, found, strict=True)]
     )
 
 
@@ -56,6 +66,9 @@ def read_csv(
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", line_breaks_in_fields)
+        .option("enforceSchema", False)
+        .option("mode", "FAILFAST")
+        .option("columnPruning", False)  # else fields past the wanted ones are not counted
         .csv(path)
     )
     text = raw.select(*[tokens_to_null(F.col(_quoted(c))).alias(c) for c in raw.columns])
@@ -70,9 +83,13 @@ def read_csv(
 
 
 def csv_to_parquet(
-    spark: SparkSession, path: str | list[str], out: str, types: StructType | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    out: str,
+    types: StructType | None = None,
+    line_breaks_in_fields: bool = True,
 ) -> DataFrame:
     """Converts once; afterwards reports read only the columns they use."""
-    table = read_csv(spark, path, types)
+    table = read_csv(spark, path, types, line_breaks_in_fields)
     table.write.option("maxRecordsPerFile", 5_000_000).parquet(out)
     return spark.read.schema(table.schema).parquet(out)

@@ -10,6 +10,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tallyfield.operators.insert import new_rows
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def create_if_absent(
     spark: SparkSession,
     table: str,
@@ -18,18 +22,20 @@ def create_if_absent(
     key: str | None = None,
     buckets: int | None = None,
 ) -> None:
-    """``CREATE TABLE IF NOT EXISTS`` in Parquet.
+    """``CREATE TABLE IF NOT EXISTS`` in Parquet, under the warehouse unless ``location`` is given.
 
     For a large table give ``key`` and ``buckets``: rows are then stored by key, and inserts join
     to the table without shuffling it.
     """
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    columns = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in schema)
     clauses = ["USING parquet"]
     if key and buckets:
-        clauses.append(f"CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS")
+        clauses.append(f"CLUSTERED BY ({_quoted(key)}) INTO {buckets} BUCKETS")
     if location:
-        clauses.append(f"LOCATION '{location}'")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) {' '.join(clauses)}")
+        escaped = location.replace("\\", "\\\\").replace("'", "\\'")
+        clauses.append(f"LOCATION '{escaped}'")
+    name = ".".join(map(_quoted, table.split(".")))
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) {' '.join(clauses)}")
 
 
 def rows_in_order(

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfield.operators import groups, inspect, lookup
+from tallyfield.operators import groups, inspect
 
 
 def test_missing_keys_are_in_no_group(spark):
@@ -72,27 +72,10 @@ def test_count_where(spark):
 def test_inspection(spark):
     df = spark.createDataFrame([(2, "b"), (1, "a")], "i long, s string")
     assert [tuple(r) for r in inspect.schema_table(df).collect()] == [
-        ("i", "bigint"),
-        ("s", "string"),
+        ("i", "bigint", 2),
+        ("s", "string", 2),
     ]
     assert tuple(inspect.shape(df).first()) == (2, 2)
     assert inspect.row_count(df).first().n_rows == 2
     assert inspect.column_count(df).first().n_cols == 2
     assert [r.i for r in inspect.first_rows(df, 1, "i").collect()] == [1]
-
-
-@pytest.mark.parametrize(
-    "limits,joined",
-    [({}, True), ({"most_values": 2}, True), ({"most_values": 1}, False), ({"most_bytes": 2}, False)],
-)
-def test_function_once_per_value(spark, limits, joined):
-    df = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, None)], "i long, s string")
-    result = lookup.once_per_value(df, "s", "u", F.upper, **limits)
-    assert result.columns == ["i", "s", "u"]
-    assert sorted(map(tuple, result.collect())) == [
-        (1, "a", "A"),
-        (2, "bb", "BB"),
-        (3, "a", "A"),
-        (4, None, None),
-    ]
-    assert ("Join" in result._jdf.queryExecution().optimizedPlan().toString()) == joined

@@ -88,6 +88,22 @@ def test_answer(df, question):
     assert [tuple(row) for row in question(df).collect()] == ANSWERS[question]
 
 
+def test_country_replaces_a_column_of_its_name(df):
+    told = q.with_country(q.enriched(df))
+    assert told.columns.count("clean_country") == 1
+    by_location = {r.host_location: r.clean_country for r in told.collect()}
+    assert by_location == {
+        "Madrid, Spain": "SPAIN", "Gary, Indiana": "INDIA", None: None, "Paris": "OTHERS",
+    }
+
+
+def test_stored_enriched_table_gives_the_same_reports(df, tmp_path):
+    stored = q.store_enriched(df, str(tmp_path / "enriched"))
+    assert q.enriched(stored).columns == stored.columns
+    for report in (q.q16a_license_categories, q.q18b_outlier_profile, q.q18d_outliers_by_district):
+        assert report(stored).collect() == report(df).collect()
+
+
 def test_countries_other_than_spain(df):
     rows = q.q17c_countries(df, match="longest_word", leave_out="SPAIN").collect()
     assert [tuple(r) for r in rows] == [("UNITED STATES", 2), ("OTHERS", 1)]

@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__
-from tallyfield.plans import registered
+from tallyfield.plans import registered, registered_sql
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,4 +81,11 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql())
+    assert set(registered.QUERIES) == set(registered_sql.SQL)
+    assert registered.QUERIES.keys() <= __spark_entry__.queries().keys()
+
+
+def test_schema_table_scans_the_table(spark):
+    plan = executed(registered.schema_table(spark, SF))
+    assert scans(plan) == 1
+    assert "ExistingRDD" not in plan

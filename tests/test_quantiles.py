@@ -83,7 +83,17 @@ def test_top_flagged(spark):
     assert [r.id for r in top.collect()] == [3, 4]
 
 
-@pytest.mark.parametrize("setting", ["spark.sql.adaptive.enabled", "spark.sql.exchange.reuse"])
+@pytest.mark.parametrize("buckets", [1, 4, 256, 2_048])
+def test_number_of_buckets_does_not_matter(spark, buckets):
+    values = np.random.default_rng(5).integers(0, 3_000, 5_000).astype(float)
+    rows = quantiles.percentile_table(frame(spark, values), "x", buckets=buckets).collect()
+    assert [r.value for r in rows] == list(np.percentile(values, PERCENTS))
+
+
+@pytest.mark.parametrize(
+    "setting",
+    ["spark.sql.adaptive.enabled", "spark.sql.exchange.reuse", "spark.sql.execution.reuseSubquery"],
+)
 def test_without_shared_stages(spark, setting):
     values = np.random.default_rng(4).random(5000)
     before = spark.conf.get(setting, "true")

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 from tallyfield.operators import inspect
 from tallyfield.plans import books, listings
 from tallyfield.schema import BOOKS, LISTINGS
-from tallyfield.sources import csv_files, json_files
+from tallyfield.sources import csv_files, json_files, tables
 
 ROW = {
     "id": "1",
@@ -81,11 +81,11 @@ def test_csv_types_inferred(spark, tmp_path):
     path.write_text("a,b,c,d,e\n1,1.5,x,NA,7\n,2,3,,1e3\n", encoding="utf8")
     df = csv_files.read_csv(spark, str(path))
     assert [tuple(r) for r in inspect.schema_table(df).collect()] == [
-        ("a", "bigint"),
-        ("b", "double"),
-        ("c", "string"),
-        ("d", "string"),
-        ("e", "double"),
+        ("a", "bigint", 1),
+        ("b", "double", 2),
+        ("c", "string", 2),
+        ("d", "string", 0),
+        ("e", "double", 2),
     ]
     assert [tuple(r) for r in df.collect()] == [
         (1, 1.5, "x", None, 7.0),
@@ -93,6 +93,40 @@ def test_csv_types_inferred(spark, tmp_path):
     ]
 
 
+def test_csv_long_numbers_and_truth(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text(
+        "a,b,c\n1003253567012345678,12345678901234567890,True\n1003253567012345679,1.5,False\n,,\n",
+        encoding="utf8",
+    )
+    df = csv_files.read_csv(spark, str(path))
+    assert [t for _, t in df.dtypes] == ["bigint", "string", "boolean"]
+    assert [tuple(r) for r in df.collect()] == [
+        (1003253567012345678, "12345678901234567890", True),
+        (1003253567012345679, "1.5", False),
+        (None, None, None),
+    ]
+
+
+@pytest.mark.parametrize("lines", [True, False])
+@pytest.mark.parametrize("row", ["1,x,EXTRA", "1"])
+def test_csv_row_of_another_length_fails(spark, tmp_path, row, lines):
+    path = tmp_path / "t.csv"
+    path.write_text(f"a,b\n2,y\n{row}\n", encoding="utf8")
+    types = StructType().add("a", "long").add("b", "string")
+    for columns in (["a", "b"], ["a"]):
+        with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+            csv_files.read_csv(spark, str(path), types, lines).select(columns).collect()
+
+
+@pytest.mark.parametrize("lines", [True, False])
+def test_csv_files_with_other_column_order_fail(spark, tmp_path, lines):
+    (tmp_path / "1.csv").write_text("a,b\n1,x\n", encoding="utf8")
+    (tmp_path / "2.csv").write_text("b,a\ny,2\n", encoding="utf8")
+    with pytest.raises(Exception, match="CSV header|FAILED_READ"):
+        csv_files.read_csv(spark, str(tmp_path), StructType(), lines).collect()
+
+
 def test_csv_bad_number_fails(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("host_id\nabc\n", encoding="utf8")
@@ -144,6 +178,41 @@ def test_json_array_out(spark, tmp_path, n):
     ]
 
 
+@pytest.mark.parametrize(
+    "text", ['[{"id": 1, "title": "a"}', '[{"id": "x"}]', "nothing", '[{"id": 1}, {"id": 2']
+)
+def test_json_that_does_not_parse_fails(spark, tmp_path, text):
+    path = tmp_path / "cut.json"
+    path.write_text(text, encoding="utf8")
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+        books.books_from_json(spark, str(path)).collect()
+    bodies = spark.createDataFrame([('[{"id": 1}]',), (text,), (None,)], "body string")
+    with pytest.raises(Exception, match="MALFORMED"):
+        json_files.records_of(bodies, "body", BOOKS).collect()
+
+
+@pytest.mark.parametrize("keys,fails", [([1, 2, 2], True), ([1, None, 2], True), ([1, 1, 2], False)])
+def test_json_array_keys(spark, tmp_path, keys, fails):
+    df = spark.createDataFrame([(k, "v") for k in keys], "id long, v string")
+    out = str(tmp_path / "array")
+    if fails:
+        with pytest.raises(Exception, match="column id"):
+            json_files.write_json_array(df, "id", out)
+        return
+    json_files.write_json_array(df, "id", out)
+    document = "".join(p.read_text() for p in sorted(Path(out).glob("part-*")))
+    assert [r["id"] for r in json.loads(document)] == keys
+
+
+def test_table_with_quotes_in_names(spark, tmp_path):
+    schema = StructType().add("i`d", "long").add("v", "string")
+    location = str(tmp_path / "it's here")
+    tables.create_if_absent(spark, "odd_names", schema, location, key="i`d", buckets=2)
+    spark.createDataFrame([(1, "a")], schema).write.insertInto("odd_names")
+    assert spark.table("odd_names").columns == ["i`d", "v"]
+    assert Path(location).exists()
+
+
 def test_indented_json(spark):
     df = spark.createDataFrame(BOOK_ROWS, BOOKS)
     texts = [r.json for r in books.books_json(df, indented=True).collect()]

@@ -101,6 +101,13 @@ AMENITIES = {
     None: None,
     '["a"]\n': 1,
     '["a"] x': None,
+    '["a"] x]': None,
+    '["a"]]': None,
+    "[]]": None,
+    '["a"],["b"]': None,
+    '["a"],"w":["b"]': None,
+    '["a"]} x]': None,
+    '[["a", "b"], "c"]': 2,
     '["a"': None,
     '{"a": 1}': None,
     "not a list": None,
