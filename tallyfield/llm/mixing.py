@@ -58,7 +58,8 @@ def targets(
     )
     levelled = numbered.withColumn("level", level)
     within = F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))
-    shared = levelled.withColumn("level", F.min(within).over(Window.partitionBy()))
+    # Behind the first source below its limit levels only fall, so the largest is the one sought.
+    shared = levelled.withColumn("level", F.max(within).over(Window.partitionBy()))
     reached = F.least(
         F.col("most"), F.coalesce(F.col("level"), F.lit(float("inf"))) * F.col("weight")
     )

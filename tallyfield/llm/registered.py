@@ -177,7 +177,7 @@ WITH sized AS (
   FROM numbered WINDOW before AS (ORDER BY most / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), shared AS (
   SELECT source, source_size, no, total,
-         least(most, w * coalesce(min(CASE WHEN level * w <= most THEN level END) OVER (), 'inf'::DOUBLE)) AS target
+         least(most, w * coalesce(max(CASE WHEN level * w <= most THEN level END) OVER (), 'inf'::DOUBLE)) AS target
   FROM levels
 ), shares AS (
   SELECT *, sum(target) OVER (ORDER BY no) AS until FROM shared
