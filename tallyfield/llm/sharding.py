@@ -71,8 +71,9 @@ def assign(
         "\x00", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))
     )
     digits = F.substring(F.md5(key.cast("binary")), 1, HASH_BITS // 4)
+    # The document travels as one struct, so that its columns cannot clash with these.
     rows = docs.select(
-        *kept,
+        F.struct(*[docs[c] for c in kept]).alias("__row"),
         F.conv(digits, 16, 10).cast("long").alias("__hash"),
         F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("__bytes"),
     )
@@ -91,7 +92,7 @@ def assign(
         if most is None:
             break
         leftover = open_.select("__prefix")
-        rows = met.where("__depth is null").select(*kept, "__hash", "__bytes")
+        rows = met.where("__depth is null").select("__row", "__hash", "__bytes")
         narrow = narrow.withColumn("__prefix", _prefix(done + bits)).join(leftover, "__prefix")
         narrow = stored(narrow.select("__hash", "__bytes"), "shard-rows")
         done += bits
@@ -106,18 +107,18 @@ def assign(
     named = found.withColumn(
         "shard", F.substring(F.concat(bits_text, low_text), F.lit(1), F.col("__depth"))
     )
-    return _pieces(named, kept, limit)
+    return _pieces(named, limit).select("__row.*", *new)
 
 
-def _pieces(found: DataFrame, kept: list[str], limit: int) -> DataFrame:
+def _pieces(found: DataFrame, limit: int) -> DataFrame:
     """Deals repeated rows whose shard cannot split to pieces within the limit."""
     large = F.col("__same") & (F.col("__shard_rows") > 1) & (F.col("__shard_bytes") > limit)
     tail = [F.col("__depth").cast("int").alias("depth")]
     plain = found.where(~large).select(
-        *kept, "shard", *tail, F.lit(0).cast("long").alias("piece"),
+        "__row", "shard", *tail, F.lit(0).cast("long").alias("piece"),
         F.col("__bytes").alias("n_bytes"), F.col("__shard_bytes").alias("shard_bytes"),
     )
-    counted = found.where(large).groupBy(*kept, "shard", "__depth", "__bytes").agg(
+    counted = found.where(large).groupBy("__row", "shard", "__depth", "__bytes").agg(
         F.count("*").alias("__copies")
     )
     each = F.greatest(F.floor(F.lit(limit) / F.col("__bytes")), F.lit(1))
@@ -126,10 +127,10 @@ def _pieces(found: DataFrame, kept: list[str], limit: int) -> DataFrame:
         "piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))
     )
     here = F.least(F.col("__each"), F.col("__copies") - F.col("piece") * F.col("__each"))
-    dealt = dealt.withColumn("__here", here).repartition("shard", "piece", *kept)
+    dealt = dealt.withColumn("__here", here).repartition("shard", "piece")
     return plain.unionByName(
         dealt.select(
-            *kept, "shard", *tail, "piece", F.col("__bytes").alias("n_bytes"),
+            "__row", "shard", *tail, "piece", F.col("__bytes").alias("n_bytes"),
             (F.col("__bytes") * F.col("__here")).alias("shard_bytes"),
             F.explode(F.array_repeat(F.lit(1), F.col("__here").cast("int"))).alias("__copy"),
         ).drop("__copy")
