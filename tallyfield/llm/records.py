@@ -33,10 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyfield.llm.tokens import TokenCache
+from tallyfield.llm.tokens import token_cache
 
 SHARD_BYTES = 8 * 1024 * 1024
 END_ID = 2
+_AT_ONCE = 200
 MARK = b"\n"
 _LENGTH = struct.Struct("<Q")
 _SUM = struct.Struct("<I")
@@ -84,26 +85,25 @@ def ids_of(payload: memoryview) -> tuple[int | None, np.ndarray]:
 def _frames(
     path: str, end_id: int, shard_bytes: int, batches: Iterator[pa.RecordBatch]
 ) -> Iterator[pa.RecordBatch]:
-    cache = TokenCache(path)
+    cache = token_cache(path)
     part = TaskContext.get().partitionId()
     shard, held, row = 0, 0, 0
     for batch in batches:
-        shards, rows, frames = [], [], []
-        texts = batch.column(1).to_pylist()
-        for doc_id, ids in zip(batch.column(0).to_pylist(), cache.encode(texts), strict=True):
-            ids = np.append(ids, np.array([end_id], ids.dtype))
-            framed = frame(payload_of(doc_id, ids))
-            if held and held + len(framed) > shard_bytes:
-                shard, held = shard + 1, 0
-            held += len(framed) + len(MARK)
-            shards.append((part << 32) + shard)
-            rows.append(row)
-            frames.append(framed)
-            row += 1
-            if len(frames) >= 500:
-                yield _frame_batch(shards, rows, frames)
-                shards, rows, frames = [], [], []
-        yield _frame_batch(shards, rows, frames)
+        for start in range(0, batch.num_rows, _AT_ONCE):
+            some = batch.slice(start, _AT_ONCE)
+            shards, rows, frames = [], [], []
+            texts = some.column(1).to_pylist()
+            for doc_id, ids in zip(some.column(0).to_pylist(), cache.encode(texts), strict=True):
+                ids = np.append(ids, np.array([end_id], ids.dtype))
+                framed = frame(payload_of(doc_id, ids))
+                if held and held + len(framed) > shard_bytes:
+                    shard, held = shard + 1, 0
+                held += len(framed) + len(MARK)
+                shards.append((part << 32) + shard)
+                rows.append(row)
+                frames.append(framed)
+                row += 1
+            yield _frame_batch(shards, rows, frames)
 
 
 def _frame_batch(shards: list[int], rows: list[int], frames: list[bytes]) -> pa.RecordBatch:

@@ -1,8 +1,10 @@
 """Encoding texts with a tokenizer file, each distinct piece once.
 
-The byte-level pre-tokenizer cuts a text before every blank that stands between two non-blanks, so the
-ids of a text are those of its pieces between such cuts, one after another. Pieces recur far more often
-than whole texts, and the library encodes each distinct one in a batch.
+The byte-level pre-tokenizer cuts a text before every blank and on both sides of every line feed that
+stands between two characters that are no white space. The ids of a text are those of its pieces
+between such cuts, one after another. Pieces recur far more often than whole texts, and the library
+encodes each distinct one, in batches. A text with white space side by side is cut only where that rule
+is sure, so its pieces are longer.
 """
 
 from __future__ import annotations
@@ -14,9 +16,19 @@ from collections.abc import Iterator
 import numpy as np
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r" \s|\s ")
-# Distinct pieces held in a worker before it starts afresh: some 150 MB.
-MOST_PIECES = 500_000
+_SIDE_BY_SIDE = re.compile(r"\s\s")
+# Distinct pieces held in a worker; beyond, those not met lately go.
+MOST_PIECES = 600_000
+
+_caches: dict[tuple[str, int], TokenCache] = {}
+
+
+def token_cache(path: str, most_pieces: int = MOST_PIECES) -> TokenCache:
+    """The worker's own cache for a tokenizer file: it outlives a task, as workers do."""
+    key = (path, most_pieces)
+    if key not in _caches:
+        _caches[key] = TokenCache(path, most_pieces)
+    return _caches[key]
 
 
 class TokenCache:
@@ -30,7 +42,12 @@ class TokenCache:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
         self.most_pieces = most_pieces
-        self.after: dict[str, bytes] = {}  # ids of a blank and the piece
+        self.feed = self._ids(["\n"])[0]
+        self.marks = dict(zip(",.", self._ids([",", "."]), strict=True))
+        # Ids of a piece at the beginning of a line, and of one after a blank (blank included).
+        self.first: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}
+        self.lately: set[str] | None = None
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -40,19 +57,49 @@ class TokenCache:
         for start in range(0, len(texts), group):
             yield from self._encode([t or "" for t in texts[start : start + group]])
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [(t.split(" ") if not _ODD.search(t) else _CUT.split(t)) for t in texts]
-        firsts = self._ids([pieces[0] for pieces in cut])
+    def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
+        new = [p for p in pieces if p not in known]
+        # A mark after a letter at the end of a piece is always a token of its own.
+        marked = [p for p in new if p[-1:] in self.marks and p[-2:-1].isalpha()]
+        bare = {p[:-1] for p in marked if p[:-1] not in known}
+        bare.update(p for p in new if not (p[-1:] in self.marks and p[-2:-1].isalpha()))
+        whole = list(bare)
+        known.update(zip(whole, self._ids([before + piece for piece in whole]), strict=True))
+        known.update((p, known[p[:-1]] + self.marks[p[-1]]) for p in marked)
+
+    def _make_room(self, pieces: set[str]) -> None:
+        if len(self.first) > self.most_pieces // 4:
+            self.first = {}
+        if self.lately is not None:
+            self.lately |= pieces
+        elif len(self.after) > self.most_pieces // 2:
+            self.lately = set(pieces)
         if len(self.after) > self.most_pieces:
-            self.after = {}
-        after = self.after
-        unseen = set()
-        for pieces in cut:
-            unseen.update(pieces[1:])
-        unseen -= after.keys()
-        new = list(unseen)
-        after.update(zip(new, self._ids([" " + piece for piece in new]), strict=True))
-        return [
-            np.frombuffer(first + b"".join(map(after.__getitem__, pieces[1:])), self.dtype)
-            for first, pieces in zip(firsts, cut, strict=True)
+            self.after = {p: self.after[p] for p in self.lately if p in self.after}
+            self.lately = None
+            if len(self.after) > self.most_pieces // 2:
+                self.after = {}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        # A text is a list of lines, a line a list of pieces.
+        cut = [
+            [_CUT.split(t)] if _SIDE_BY_SIDE.search(t) else [line.split(" ") for line in t.split("\n")]
+            for t in texts
         ]
+        firsts, others = set(), set()
+        for lines in cut:
+            for pieces in lines:
+                firsts.add(pieces[0])
+                others.update(pieces[1:])
+        self._make_room(others)
+        self._learn(self.first, firsts, "")
+        self._learn(self.after, others, " ")
+        first, after, found = self.first, self.after.__getitem__, []
+        for lines in cut:
+            parts = []
+            for pieces in lines:
+                parts.append(self.feed)
+                parts.append(first[pieces[0]])
+                parts.extend(map(after, pieces[1:]))
+            found.append(np.frombuffer(b"".join(parts[1:]), self.dtype))
+        return found
