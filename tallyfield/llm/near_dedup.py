@@ -2,20 +2,28 @@
 
 Documents with equal shingle sets are one class from the start. Every class has a sketch of minwise
 values. A tree starts with all classes in one node; a node branches on chosen coordinates of the
-sketch, and a child holds the members that have the same minwise value there. Small nodes are compared
-exhaustively. A large node first picks the member that agrees most with the node (its hub) and
-compares all members with it, as one linear step: members that the hub links are joined already and
-need no comparison with each other, so a group of near copies closes at once; few members left over are
-compared with the whole node; many make the node branch again. Independent trees repeat the search.
+sketch, and a child holds the members that have the same minwise value there. Nodes of up to ``SMALL``
+members are compared exhaustively, inside one task and on sketches. A larger node first compares all
+members with its hub, the member that agrees most with the node; what is like the hub is one group and
+is not compared again, so a group of near copies closes in one linear step. Members unlike the hub are
+compared with the whole node if they are few; only if they are many does the node branch on.
+Independent trees repeat the search.
+
+What the trees find alike forms candidate clusters. The texts of clusters are fetched once, and links
+are confirmed on the full sets: within a cluster by its hub first, then for the members that the hub
+does not link, by what their sets differ in from the hub's. (Two members that both differ little from
+the hub differ in little from each other, so short difference sets stand for the full ones, exactly.)
+Members already joined are not compared, and no pair leaves a task but those that join something.
 
 Recall: similar documents (J >= s) are missed at the first branching by every tree only if none of
-``TREES * BRANCHES`` coordinates agrees, (1 - s) ** 8 = 3e-7 at 0.85. Candidates are confirmed on the
-full sets, by counts, so no false link is made.
+``TREES * BRANCHES`` coordinates agrees, (1 - s) ** 8 = 3e-7 at 0.85, or if their sketches agree in fewer
+places than any but one in some millions of such pairs. No false link is made.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +38,12 @@ from tallyfield.llm.shingles import common, multipliers, shingle_set
 
 SKETCH = 64
 TREES, BRANCHES = 4, 2
-SMALL = 24
+SMALL = 1_000
+# The largest cluster that one task confirms, in members and in shingles.
+CLUSTER_MEMBERS = 4_000
+CLUSTER_SHINGLES = 3_000_000
+# Elements of difference sets in one block of a larger cluster.
+BLOCK_ELEMENTS = 1_000_000
 # A node whose members agree in more than this share branches on 1 / s coordinates in the mean.
 DENSE = 0.45
 SAMPLED = 16
@@ -85,48 +98,205 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), SKETCH)
 
 
-def _alike(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps pairs whose sketches (the last two columns) agree in ``least`` places or more."""
-    for batch in batches:
-        agree = (_matrix(batch.column(batch.num_columns - 2)) == _matrix(batch.column(batch.num_columns - 1))).sum(axis=1)
-        rest = pa.RecordBatch.from_arrays(batch.columns[:-2], batch.schema.names[:-2])
-        yield rest.filter(pa.array(agree >= least))
-
-
-def _confirmed(
-    width: int, share: tuple[int, int], batches: Iterator[pa.RecordBatch]
-) -> Iterator[pa.RecordBatch]:
-    """(a, b, text of a, text of b) to the pairs whose full sets are similar enough."""
-    cache: dict[int, np.ndarray] = {}
-    held = 0
-
-    def of(key: int, text: pa.Scalar) -> np.ndarray:
-        nonlocal held
-        if key not in cache:
-            if held > 2_000_000:
-                cache.clear()
-                held = 0
-            cache[key] = shingle_set(text.as_py(), width)
-            held += len(cache[key])
-        return cache[key]
+class _Groups:
+    """Union-find over the members of one task's group."""
+
+    def __init__(self, size: int):
+        self.parent = list(range(size))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.root(i), self.root(j)
+        self.parent[max(i, j)] = min(i, j)
+
+    def links(self, ids: list[int]) -> Iterator[tuple[int, int]]:
+        """One link for each member but the first of its group."""
+        for i in range(len(ids)):
+            if (j := self.root(i)) != i and ids[i] != ids[j]:
+                yield ids[j], ids[i]
 
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows with one value in the first column, from batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        starts = [0, *(np.nonzero(np.diff(keys))[0] + 1).tolist(), len(keys)]
+        for start, end in zip(starts, starts[1:], strict=False):
+            if held and keys[start] != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = keys[start]
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _link_batches(links: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    while part := list(itertools.islice(links, 20_000)):
+        arrays = [pa.array([x[i] for x in part], pa.int64()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays(arrays, ["a", "b"])
+
+
+def _alike_in(rows: pa.Table, least: int, share: tuple[int, int]) -> Iterator[tuple[int, int]]:
+    """Links that join the likely pairs of one node; rows under one label are joined from the start."""
+    ids = rows.column("rep").to_pylist()
+    sizes = rows.column("n").to_numpy()
+    sketches = _matrix(rows.column("sketch").combine_chunks())
+    groups, first = _Groups(len(ids)), {}
+    for i, label in enumerate(rows.column("label").to_pylist()):
+        if label is not None:
+            groups.join(i, first.setdefault(label, i))
+    for start in range(0, len(ids), 64):
+        part = slice(start, start + 64)
+        agree = (sketches[part, None, :] == sketches[None, start:, :]).sum(axis=2)
+        low, high = np.minimum(sizes[part, None], sizes[None, start:]), np.maximum(sizes[part, None], sizes[None, start:])
+        for i, j in zip(*np.nonzero((agree >= least) & (low * share[1] >= high * share[0])), strict=True):
+            if i != j:
+                groups.join(start + int(i), start + int(j))
+    yield from groups.links(ids)
+
+
+def _alike(least: int, share: tuple[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, rep, n, sketch, label) sorted by node to links."""
+    return _link_batches(link for rows in _runs(batches) for link in _alike_in(rows, least, share))
+
+
+def _alike_across(left: pa.Table, right: pa.Table, least: int, share: tuple[int, int]) -> pa.Table:
+    """Links that join the likely pairs of members in ``left`` and in ``right``, groups by label."""
+    ids = [*left.column("rep").to_pylist(), *right.column("rep").to_pylist()]
+    groups, first = _Groups(len(ids)), {}
+    for i, label in enumerate([*left.column("label").to_pylist(), *right.column("label").to_pylist()]):
+        if label is not None:
+            groups.join(i, first.setdefault(label, i))
+    sizes, n = right.column("n").to_numpy(), left.column("n").to_numpy()
+    ours, theirs = (_matrix(t.column("sketch").combine_chunks()) for t in (left, right))
+    if left.num_rows and right.num_rows:
+        for i, sketch in enumerate(ours):
+            low, high = np.minimum(sizes, n[i]), np.maximum(sizes, n[i])
+            like = ((theirs == sketch).sum(axis=1) >= least) & (low * share[1] >= high * share[0])
+            for j in np.nonzero(like)[0].tolist():
+                groups.join(i, len(ours) + j)
+    pairs = list(groups.links(ids))
+    return pa.table([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _like_hub(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds whether the sketch agrees with the hub's (the last column) in enough places."""
     for batch in batches:
-        good = []
-        texts = [batch.column(i).cast(pa.binary()) for i in (2, 3)]
-        for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *texts, strict=True):
-            p, q = of(a, x), of(b, y)
-            both = common(p, q)
-            good.append(share[1] * both >= share[0] * (len(p) + len(q) - both))
-        pairs = pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"])
-        yield pairs.filter(pa.array(good, pa.bool_()))
+        at = batch.schema.names.index("sketch")
+        like = (_matrix(batch.column(at)) == _matrix(batch.column(batch.num_columns - 1))).sum(axis=1) >= least
+        names = [*batch.schema.names[:-1], "alike"]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(like)], names)
+
+
+def _linked(n: np.ndarray | int, m: int, differ: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """Whether sets of sizes n and m with so many elements in just one of them are similar enough."""
+    both = (n + m - differ) // 2
+    return share[1] * both >= share[0] * (n + m - both)
+
+
+class _Differences:
+    """Difference sets to one hub, indexed by element."""
+
+    def __init__(self, differences: list[np.ndarray], sizes: np.ndarray, share: tuple[int, int]):
+        lengths = np.array([len(d) for d in differences], np.int64)
+        elements = np.concatenate(differences) if differences else np.zeros(0, np.uint64)
+        owners = np.repeat(np.arange(len(differences)), lengths)
+        order = np.argsort(elements, kind="stable")
+        self.elements, self.owners = elements[order], owners[order]
+        self.lengths, self.sizes, self.share = lengths, sizes, share
+
+    def linked_with(self, difference: np.ndarray, size: int) -> np.ndarray:
+        """Numbers of the members whose set is similar to the one with this difference set."""
+        low = np.searchsorted(self.elements, difference, "left")
+        count = np.searchsorted(self.elements, difference, "right") - low
+        at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        both = np.bincount(self.owners[at], minlength=len(self.lengths))
+        differ = self.lengths + len(difference) - 2 * both
+        return np.nonzero(_linked(self.sizes, size, differ, self.share))[0]
+
+
+def _confirmed_in(rows: pa.Table, width: int, share: tuple[int, int]) -> Iterator[tuple[int, int]]:
+    """Links that join the similar texts of one cluster."""
+    ids = rows.column("rep").to_pylist()
+    texts = rows.column("text").combine_chunks().cast(pa.binary())
+    sets = [shingle_set(t.as_py(), width) for t in texts]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    if len(ids) == 2:
+        if _linked(sizes[0], sizes[1], sizes.sum() - 2 * common(*sets), share):
+            yield ids[0], ids[1]
+        return
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    usual = [counts[np.searchsorted(values, s)].sum() / len(s) for s in sets]
+    hub = sets[int(np.argmax(usual))]
+    differences = [np.setxor1d(s, hub, assume_unique=True) for s in sets]
+    index = _Differences(differences, sizes, share)
+    groups = _Groups(len(ids))
+    inside = _linked(sizes, len(hub), index.lengths, share)
+    joined = np.nonzero(inside)[0].tolist()
+    for i in joined:
+        groups.join(joined[0], i)
+    for i in np.nonzero(~inside)[0].tolist():
+        for j in index.linked_with(differences[i], int(sizes[i])).tolist():
+            groups.join(i, j)
+    yield from groups.links(ids)
+
+
+def _confirmed(width: int, share: tuple[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, rep, text) sorted by cluster to links."""
+    return _link_batches(link for rows in _runs(batches) for link in _confirmed_in(rows, width, share))
+
+
+def _differing(width: int, share: tuple[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cluster, rep, text, hub, text of the hub) to difference sets and whether the hub links."""
+    hub, hub_set = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        sizes, inside, differences = [], [], []
+        for key, text, hub_text in zip(batch.column(3).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(4).cast(pa.binary()), strict=True):
+            if key != hub:
+                hub, hub_set = key, shingle_set(hub_text.as_py(), width)
+            own = shingle_set(text.as_py(), width)
+            differ = np.setxor1d(own, hub_set, assume_unique=True)
+            sizes.append(len(own))
+            inside.append(bool(_linked(len(own), len(hub_set), len(differ), share)))
+            differences.append(differ.tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), batch.column(1), batch.column(3), pa.array(sizes, pa.int64()),
+                pa.array(inside, pa.bool_()), pa.array(differences, pa.binary()),
+            ],
+            ["cluster", "rep", "hub", "n", "inside", "differ"],
+        )
 
 
-def _sizes_fit(share: tuple[int, int], n: str, m: str) -> Column:
-    return (F.least(n, m) * share[1]) >= (F.greatest(n, m) * share[0])
+def _block_links(left: pa.Table, right: pa.Table, share: tuple[int, int]) -> pa.Table:
+    """Links between the members in ``left``, none of them linked by the hub, and those in ``right``."""
+    arrays = lambda t: [np.frombuffer(d, np.uint64) for d in t.column("differ").to_pylist()]
+    ids, inside = right.column("rep").to_pylist(), right.column("inside").to_pylist()
+    hub = (left if left.num_rows else right).column("hub").to_pylist()[:1]
+    index = _Differences(arrays(right), right.column("n").to_numpy(), share)
+    found: set[tuple[int, int]] = set()
+    for rep, size, differ in zip(left.column("rep").to_pylist(), left.column("n").to_pylist(), arrays(left), strict=True):
+        for j in index.linked_with(differ, size).tolist():
+            # All that the hub links are one group: a link with any of them is one with the hub.
+            other = hub[0] if inside[j] else ids[j]
+            if other != rep:
+                found.add((min(rep, other), max(rep, other)))
+    pairs = sorted(found)
+    return pa.table([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
 class _Join:
-    """One similarity join: its parameters, the classes, and the texts needed to confirm links."""
+    """One similarity join: its parameters and the classes."""
 
     def __init__(self, docs: DataFrame, width: int, share: tuple[int, int]):
         self.width, self.share = width, share
@@ -142,45 +312,24 @@ class _Join:
             "near-classes",
         )
         met = named.select("doc_id", "n", "sketch", "hi", "lo").join(
-            self.classes.select("hi", "lo", F.col("rep").alias("doc_id"), "whole"), ["hi", "lo", "doc_id"]
+            self.classes.select("hi", "lo", F.col("rep").alias("doc_id")), ["hi", "lo", "doc_id"]
         )
         # Repeated rows give the same class several times.
-        self.members = met.select(F.col("doc_id").alias("rep"), "n", "sketch")
-        self.texts: DataFrame | None = None
+        members = met.select(F.col("doc_id").alias("rep"), "n", "sketch").dropDuplicates(["rep"])
+        self.members = stored(members, "near-members")
 
-    def need(self, ids: DataFrame) -> None:
-        """Fetches the texts of ``ids`` (id), once, for all later confirmations."""
-        wanted = self.classes.join(ids.distinct(), F.col("rep") == F.col("id")).select("rep", "whole")
-        keyed = self.docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("whole"), "text")
-        found = keyed.join(wanted, ["rep", "whole"]).select("rep", "text")
-        self.texts = stored(found.dropDuplicates(["rep"]), "near-texts")
-
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        right = self.texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-        left = self.texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
-        met = pairs.select("a", "b").distinct().join(right, "b").join(left, "a")
-        met = met.select("a", "b", "text_a", "text_b")
-        return met.mapInArrow(
-            functools.partial(_confirmed, self.width, self.share), "a long, b long"
-        )
+    def first_nodes(self) -> DataFrame:
+        at = [(t, t * BRANCHES + b) for t in range(TREES) for b in range(BRANCHES)]
+        keys = [F.xxhash64(F.lit(t), F.lit(c), F.col("sketch")[c]) for t, c in at]
+        rows = self.members.select(F.explode(F.array(*keys)).alias("node"), "rep")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        met = rows.join(sizes, "node").join(self.members, "rep")
+        return stored(met.select("node", "rep", "n", "sketch", F.lit(None).cast("long").alias("label"), "size"), "near-nodes")
 
-    def alike(self, pairs: DataFrame, kept: str) -> DataFrame:
-        """``pairs`` with sizes n, m and sketches x, y, reduced to likely ones with columns ``kept``."""
-        names = [c.split()[0] for c in kept.split(",")]
-        fit = pairs.where(_sizes_fit(self.share, "n", "m")).select(*names, "x", "y")
-        return fit.mapInArrow(functools.partial(_alike, self.least), kept)
-
-    def exhaustive(self, nodes: DataFrame, others: DataFrame | None = None) -> DataFrame:
-        """Likely pairs within each node of ``nodes``, but for those under one label. Every node
-        has at most ``SMALL`` rows in ``nodes``; ``others`` may hold more."""
-        left = nodes.select("node", F.col("rep").alias("a"), "n", F.col("sketch").alias("x"), F.col("label").alias("la"))
-        right = (others if others is not None else nodes).select(
-            "node", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"), F.col("label").alias("lb")
-        )
-        order = F.col("a") < F.col("b") if others is None else F.col("a") != F.col("b")
-        apart = ~F.coalesce(F.col("la") == F.col("lb"), F.lit(False))
-        pairs = left.join(right, "node").where(order & apart)
-        return self.alike(pairs, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    def exhaustive(self, nodes: DataFrame) -> DataFrame:
+        """Links that join the likely pairs within each node, one task a node."""
+        rows = nodes.select("node", "rep", "n", "sketch", "label").repartition("node").sortWithinPartitions("node")
+        return rows.mapInArrow(functools.partial(_alike, self.least, self.share), "a long, b long")
 
     def children(self, rows: DataFrame) -> DataFrame:
         """``rows`` (node of the child, rep, n, sketch, label) of nodes that still hold two members
@@ -192,15 +341,6 @@ class _Join:
         open_ = sizes.where("size > 1 and not coalesce(labelled = size and first = last, false)")
         return stored(rows.join(open_.select("node", "size"), "node"), "near-nodes")
 
-    def first_nodes(self) -> DataFrame:
-        at = [(t, t * BRANCHES + b) for t in range(TREES) for b in range(BRANCHES)]
-        keys = [F.xxhash64(F.lit(t), F.lit(c), F.col("sketch")[c]) for t, c in at]
-        members = stored(self.members.dropDuplicates(["rep"]), "near-members")
-        rows = members.select(F.explode(F.array(*keys)).alias("node"), "rep")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        met = rows.join(sizes, "node").join(members, "rep")
-        return stored(met.select("node", "rep", "n", "sketch", F.lit(None).cast("long").alias("label"), "size"), "near-nodes")
-
     def hubs(self, large: DataFrame) -> DataFrame:
         """Per node its hub, the member that agrees most with the commonest values at sampled
         coordinates, and how far members agree in the mean."""
@@ -224,64 +364,124 @@ class _Join:
         hub = best.select("node", (-F.col("best.r")).alias("rep"), "agreeing")
         return stored(
             hub.join(large, ["node", "rep"]).select(
-                "node", F.col("rep").alias("hub"), F.col("n").alias("m"), F.col("sketch").alias("y"),
-                F.col("label").alias("hub_label"), "agreeing",
+                "node", F.col("rep").alias("hub"), F.col("label").alias("hub_label"), "agreeing",
+                F.col("sketch").alias("hub_sketch"),
             ),
             "near-hubs",
         )
 
-    def divide(self, large: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """One round over large nodes: confirmed links with hubs, likely pairs of leftovers, and
-        the rows of children."""
-        hubs = self.hubs(large)
-        met = large.join(hubs, "node")
-        joined = F.coalesce(F.col("label") == F.col("hub_label"), F.lit(False)) | (F.col("rep") == F.col("hub"))
-        tried = met.where(~joined).select(
-            F.col("hub").alias("a"), F.col("rep").alias("b"), "n", "m", F.col("sketch").alias("x"), "y"
+    def divide(self, large: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+        """One round over large nodes: links with hubs, links of the members that are unlike their hub
+        where these are few, and the rows of the children of the other nodes."""
+        met = large.join(self.hubs(large), "node").select(
+            "node", "rep", "n", "sketch", "label", "hub", "hub_label", "agreeing", "hub_sketch"
         )
-        links = stored(self.confirm(self.alike(tried, "a long, b long")), "near-links")
-        linked = links.select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.lit(True).alias("linked"))
-        sorted_ = met.join(linked, ["hub", "rep"], "left").select(
-            "node", "rep", "n", "sketch", "label", "agreeing",
-            (joined | F.coalesce("linked", F.lit(False))).alias("inside"),
-        )
-        group = F.when(F.col("inside"), F.xxhash64("node", F.lit("hub"))).otherwise(F.col("label"))
-        sorted_ = stored(sorted_.withColumn("label", group), "near-sorted")
-        left = sorted_.where("not inside").groupBy("node").agg(F.count("*").alias("left"))
-        few = left.where(F.col("left") <= SMALL).select("node")
-        many = left.where(F.col("left") > SMALL).select("node")
-        ending = sorted_.join(few, "node")
-        pairs = self.exhaustive(ending.where("not inside"), ending)
+        told = met.mapInArrow(
+            functools.partial(_like_hub, self.least),
+            "node long, rep long, n int, sketch array<int>, label long, hub long, hub_label long, agreeing double, alike boolean",
+        )
+        inside = F.col("alike") | F.coalesce(F.col("label") == F.col("hub_label"), F.lit(False))
+        group = F.when(inside, F.xxhash64("node", F.lit("hub"))).otherwise(F.col("label"))
+        told = stored(told.withColumn("inside", inside).withColumn("label", group), "near-told")
+        links = told.where("alike and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+        counts = told.groupBy("node").agg(F.count("*").alias("size"), F.count_if(~F.col("inside")).alias("unlike"))
+        counts = stored(counts.where("unlike > 0"), "near-unlike")
+        few = counts.where(F.col("unlike") <= SMALL).withColumn("chunks", F.ceil(F.col("size") / (2 * SMALL)))
+        rows = told.join(few.select("node", "chunks"), "node")
+        kept = ["node", "chunk", "rep", "n", "sketch", "label"]
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+        left = rows.where("not inside").withColumn("chunk", every).select(*kept)
+        right = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))).select(*kept)
+        least, share = self.least, self.share
+
+        def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+            return _alike_across(left, right, least, share)
+
+        key = ["node", "chunk"]
+        # Stored apart: Spark cannot tell two sides apart that come from one frame.
+        left, right = stored(left, "near-few"), stored(right, "near-whole")
+        more = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "a long, b long")
+        more = stored(more, "near-alike")
         chosen = [F.pmod(F.xxhash64("node", F.lit(i)), F.lit(SKETCH)).cast("int") for i in range(BRANCHES)]
         extra = self.share[1] / self.share[0] - 1
         rarely = F.pmod(F.xxhash64("node", F.lit("extra")), F.lit(1_000)) < int(1_000 * extra)
         second = F.when((F.col("agreeing") < DENSE) | rarely, chosen[1])
-        rows = sorted_.join(many, "node").withColumn("c", F.explode(F.array_compact(F.array(chosen[0], second))))
+        rows = told.join(counts.where(F.col("unlike") > SMALL).select("node"), "node")
+        rows = rows.withColumn("c", F.explode(F.array_compact(F.array(chosen[0], second))))
         rows = rows.select(
             F.xxhash64("node", "c", F.element_at("sketch", F.col("c") + 1)).alias("node"), "rep", "n", "sketch", "label"
         )
-        return links, pairs, self.children(rows.dropDuplicates(["node", "rep"]))
+        return [links, more], self.children(rows.dropDuplicates(["node", "rep"]))
 
-    def links(self) -> DataFrame:
-        """All confirmed links but those within a group that a hub has joined."""
+    def clusters(self) -> DataFrame:
+        """(rep, cluster) of the classes that have a likely partner: the groups that the trees find."""
         nodes = self.first_nodes()
+        found = [stored(self.exhaustive(nodes.where(F.col("size") <= SMALL)), "near-alike")]
         large = nodes.where(F.col("size") > SMALL)
-        pairs = [stored(self.exhaustive(nodes.where(F.col("size") <= SMALL)).distinct(), "near-pairs")]
-        ids = pairs[0].select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select(F.col("rep").alias("id")))
-        self.need(ids)
-        found = []
-        for round_ in range(MOST_ROUNDS):
+        for _ in range(MOST_ROUNDS):
             if large.limit(1).count() == 0:
                 break
-            links, more, nodes = self.divide(large)
-            found.append(links)
-            pairs += [more, self.exhaustive(nodes.where(F.col("size") <= SMALL))]
+            links, nodes = self.divide(large)
+            found += links
+            found.append(stored(self.exhaustive(nodes.where(F.col("size") <= SMALL)), "near-alike"))
             large = nodes.where(F.col("size") > SMALL)
         else:  # what no coordinate divides is compared in full
-            pairs.append(self.exhaustive(large, large))
-        rest = functools.reduce(DataFrame.unionByName, pairs)
-        found.append(self.confirm(rest))
-        return functools.reduce(DataFrame.unionByName, found)
+            found.append(self.exhaustive(large))
+        links = functools.reduce(DataFrame.unionByName, found)
+        return components(links).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+
+    def links(self) -> DataFrame:
+        """Confirmed links that join all similar classes."""
+        clusters = self.clusters().join(self.members.select("rep", "n"), "rep")
+        sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+        fits = (F.col("members") <= CLUSTER_MEMBERS) & (F.col("shingles") <= CLUSTER_SHINGLES)
+        wanted = clusters.join(sizes.withColumn("fits", fits), "cluster").join(self.classes, "rep")
+        keyed = self.docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("whole"), "text")
+        texts = keyed.join(wanted.select("rep", "whole", "cluster", "fits", "members"), ["rep", "whole"])
+        texts = stored(texts.drop("whole").dropDuplicates(["rep"]), "near-texts")
+        small = texts.where("fits").select("cluster", "rep", "text").repartition("cluster").sortWithinPartitions("cluster")
+        links = small.mapInArrow(functools.partial(_confirmed, self.width, self.share), "a long, b long")
+        large = texts.where("not fits")
+        if large.limit(1).count():
+            links = links.unionByName(self.large_links(large))
+        return stored(links, "near-links")
+
+    def large_links(self, texts: DataFrame) -> DataFrame:
+        """Links within clusters too large for one task: by the hub row by row, then for the members
+        it does not link against all members, in blocks of bounded size that hold difference sets."""
+        rows = texts.select(F.col("cluster").alias("node"), "rep", "members").join(self.members, "rep")
+        rows = rows.select("node", "rep", "n", "sketch", F.lit(None).cast("long").alias("label"), F.col("members").alias("size"))
+        hubs = self.hubs(stored(rows, "near-large")).select(F.col("node").alias("cluster"), "hub")
+        hub_texts = hubs.join(texts.select(F.col("rep").alias("hub"), F.col("text").alias("hub_text")), "hub")
+        met = texts.join(hub_texts, "cluster").select("cluster", "rep", "text", "hub", "hub_text")
+        differing = stored(
+            met.mapInArrow(
+                functools.partial(_differing, self.width, self.share),
+                "cluster long, rep long, hub long, n long, inside boolean, differ binary",
+            ),
+            "near-differences",
+        )
+        direct = differing.where("inside and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+        weight = F.octet_length("differ") / 8 + 1
+        blocks = differing.groupBy("cluster").agg(
+            F.ceil(F.sum(weight) / BLOCK_ELEMENTS).alias("rights"),
+            F.ceil(F.sum(F.when(~F.col("inside"), weight)) / BLOCK_ELEMENTS).alias("lefts"),
+        ).where("lefts is not null")
+        rows = differing.join(blocks, "cluster")
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        own = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n))
+        key = ["cluster", "left", "right"]
+        kept = [*key, "rep", "hub", "n", "inside", "differ"]
+        left = rows.where("not inside").withColumn("left", own("left", "lefts")).withColumn("right", upto("rights")).select(*kept)
+        right = rows.withColumn("right", own("right", "rights")).withColumn("left", upto("lefts")).select(*kept)
+        share = self.share
+
+        def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+            return _block_links(left, right, share)
+
+        left, right = stored(left, "near-left"), stored(right, "near-right")
+        more = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "a long, b long")
+        return direct.unionByName(more)
 
 
 def near_duplicates(
@@ -319,9 +519,20 @@ def near_duplicates(
     )
 
 
-def without_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with one row for each group of near duplicates: its smallest id, once."""
-    name = parameters.get("doc_id", "doc_id")
-    gone = near_duplicates(docs, **parameters).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, docs[name] == gone["gone_id"], "left_anti")
-    return kept
+def without_near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters
+) -> DataFrame:
+    """``docs`` with one row for each group of near duplicates: that of its smallest id. Rows of one id
+    are one document, of which the row with the smallest hash of its text stays."""
+    found = stored(near_duplicates(docs, doc_id, text, **parameters).select("doc_id", "kept"), "near-kept")
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    again = again.where("n > 1").select(F.col("doc_id").alias("again_id"))
+    kept = docs.join(gone, docs[doc_id] == gone["gone_id"], "left_anti")
+    once = kept.join(again, kept[doc_id] == again["again_id"], "left_anti")
+    several = kept.join(again, kept[doc_id] == again["again_id"], "left_semi")
+    if again.limit(1).count() == 0:
+        return once
+    row = F.struct(F.xxhash64(text).alias("h"), F.struct(*docs.columns).alias("r"))
+    chosen = several.groupBy(F.col(doc_id).alias("again_id")).agg(F.min(row).alias("m"))
+    return once.unionByName(chosen.select("m.r.*"))
