@@ -5,9 +5,9 @@ values. A tree starts with all classes in one node; a node branches on chosen co
 sketch, and a child holds the members that have the same minwise value there. Nodes of up to ``SMALL``
 members are compared exhaustively, inside one task and on sketches. A larger node first compares all
 members with its hub, the member that agrees most with the node; what is like the hub is one group and
-is not compared again, so a group of near copies closes in one linear step. Members unlike the hub are
-compared with the whole node if they are few; only if they are many does the node branch on.
-Independent trees repeat the search.
+is not compared again, so a group of near copies closes in one linear step. Up to ``FEW`` members unlike
+the hub are compared with the whole node, in blocks of bounded size; only if there are more does the node
+branch on, always on ``BRANCHES`` coordinates. Independent trees repeat the search.
 
 What the trees find alike forms candidate clusters. The texts of clusters are fetched once, and links
 are confirmed on the full sets: within a cluster by its hub first, then for the members that the hub
@@ -15,15 +15,19 @@ does not link, by what their sets differ in from the hub's. (Two members that bo
 the hub differ in little from each other, so short difference sets stand for the full ones, exactly.)
 Members already joined are not compared, and no pair leaves a task but those that join something.
 
-Recall: similar documents (J >= s) are missed at the first branching by every tree only if none of
-``TREES * BRANCHES`` coordinates agrees, (1 - s) ** 8 = 3e-7 at 0.85, or if their sketches agree in fewer
-places than any but one in some millions of such pairs. No false link is made.
+Recall: where no node has more than ``FEW`` members unlike its hub, similar documents (J >= s) are missed
+only if none of ``TREES * BRANCHES`` coordinates agrees, (1 - s) ** 12 = 1e-10 at 0.85 and 4e-9 at 0.8.
+Through any number of further branchings the share missed is at most ``missed(s)``: 1.5e-7 at 0.85, 7.5e-6
+at 0.8. Besides, sketches agree in too few places to be compared further for 1.5e-7 (0.85) or 1.2e-6 (0.8)
+of the pairs at just s. These are reckoned, not measured. No false link is made.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import math
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,15 +41,17 @@ from tallyfield.llm.components import components
 from tallyfield.llm.shingles import common, multipliers, shingle_set
 
 SKETCH = 64
-TREES, BRANCHES = 4, 2
+TREES, BRANCHES = 6, 2
 SMALL = 1_000
+# The most members unlike the hub that are compared with their whole node: dearer per row than to branch
+# only above it. They and the node are cut into blocks of about ``BLOCK`` members.
+FEW = 20_000
+BLOCK = 8_000
 # The largest cluster that one task confirms, in members and in shingles.
 CLUSTER_MEMBERS = 4_000
 CLUSTER_SHINGLES = 3_000_000
 # Elements of difference sets in one block of a larger cluster.
 BLOCK_ELEMENTS = 1_000_000
-# A node whose members agree in more than this share branches on 1 / s coordinates in the mean.
-DENSE = 0.45
 SAMPLED = 16
 # Below the wanted similarity by so much, an estimate on 64 coordinates is not a candidate: over
 # five standard deviations.
@@ -56,6 +62,23 @@ SPARK_SEED = 42  # fixed value: the seed of Spark's xxhash64
 _SIGNATURE = "doc_id long, whole long, n int, hi long, lo long, sketch array<int>"
 
 
+def missed(s: float) -> float:
+    """The share of pairs of similarity s that no tree brings together, over any number of branchings.
+
+    Of a node that holds a pair, each of the two children holds it where the chosen coordinate agrees. In
+    k of ``SKETCH`` coordinates agreeing, the pair dies out below a node with the smallest probability q
+    that satisfies q = (1 - p + p q) ** 2 with p = k / SKETCH. The first nodes have coordinates of
+    their own, the others any.
+    """
+    starts = TREES * BRANCHES
+    chance = lambda n, k: math.comb(n, k) * s**k * (1 - s) ** (n - k)
+    dies = [min(1.0, ((SKETCH - k) / k) ** 2) if k else 1.0 for k in range(SKETCH + 1)]
+    return sum(
+        chance(starts, h) * chance(SKETCH - starts, r) * dies[h + r] ** h
+        for h in range(starts + 1) for r in range(SKETCH - starts + 1)
+    )
+
+
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
@@ -171,21 +194,35 @@ def _alike(least: int, share: tuple[int, int], batches: Iterator[pa.RecordBatch]
 
 
 def _alike_across(left: pa.Table, right: pa.Table, least: int, share: tuple[int, int]) -> pa.Table:
-    """Links that join the likely pairs of members in ``left`` and in ``right``, groups by label."""
+    """Links that join the likely pairs of members in ``left`` and in ``right``; rows under one label are
+    joined from the start."""
     ids = [*left.column("rep").to_pylist(), *right.column("rep").to_pylist()]
-    groups, first = _Groups(len(ids)), {}
-    for i, label in enumerate([*left.column("label").to_pylist(), *right.column("label").to_pylist()]):
-        if label is not None:
-            groups.join(i, first.setdefault(label, i))
-    sizes, n = right.column("n").to_numpy(), left.column("n").to_numpy()
-    ours, theirs = (_matrix(t.column("sketch").combine_chunks()) for t in (left, right))
+    labels = [*left.column("label").to_pylist(), *right.column("label").to_pylist()]
+    numbers: dict = {}
+    groups = np.array(
+        [numbers.setdefault((label is None, i if label is None else label), len(numbers)) for i, label in zip(ids, labels, strict=True)],
+        np.int64,
+    )
+    pairs = []
     if left.num_rows and right.num_rows:
-        for i, sketch in enumerate(ours):
-            low, high = np.minimum(sizes, n[i]), np.maximum(sizes, n[i])
-            like = ((theirs == sketch).sum(axis=1) >= least) & (low * share[1] >= high * share[0])
-            for j in np.nonzero(like)[0].tolist():
-                groups.join(i, len(ours) + j)
-    pairs = list(groups.links(ids))
+        sizes, n = right.column("n").to_numpy(), left.column("n").to_numpy()
+        ours, theirs = (_matrix(t.column("sketch").combine_chunks()) for t in (left, right))
+        # Low bytes agree wherever the values do: what they leave over is looked at in full.
+        our_bytes, their_bytes = (np.ascontiguousarray(m.T).astype(np.uint8) for m in (ours, theirs))
+        for start in range(0, len(ours), 64):
+            agree = np.zeros((len(ours[start : start + 64]), len(theirs)), np.uint8)
+            for c in range(SKETCH):
+                agree += our_bytes[c, start : start + 64, None] == their_bytes[c]
+            hits = agree >= least
+            for i in (np.nonzero(hits.any(axis=1))[0] + start).tolist():
+                at = np.nonzero(hits[i - start])[0]
+                at = at[groups[len(ours) + at] != groups[i]]
+                low, high = np.minimum(sizes[at], n[i]), np.maximum(sizes[at], n[i])
+                at = at[((theirs[at] == ours[i]).sum(axis=1) >= least) & (low * share[1] >= high * share[0])]
+                joined, first = np.unique(groups[len(ours) + at], return_index=True)
+                if len(joined):
+                    pairs += [(ids[i], ids[len(ours) + j]) for j in at[first].tolist()]
+                    groups[np.isin(groups, joined)] = groups[i]
     return pa.table([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
@@ -343,28 +380,24 @@ class _Join:
 
     def hubs(self, large: DataFrame) -> DataFrame:
         """Per node its hub, the member that agrees most with the commonest values at sampled
-        coordinates, and how far members agree in the mean."""
+        coordinates."""
         at = SKETCH - SAMPLED
         values = large.select("node", F.posexplode(F.slice("sketch", at + 1, SAMPLED)).alias("c", "v"))
         counts = values.groupBy("node", "c", "v").agg(F.count("*").alias("k"))
         modes = counts.groupBy("node", "c").agg(F.max(F.struct("k", "v")).alias("top"))
         commonest = modes.groupBy("node").agg(
-            F.sort_array(F.collect_list(F.struct("c", F.col("top.v").alias("v")))).alias("commonest"),
-            (F.sum("top.k") / SAMPLED).alias("agreeing"),
-        )
+            F.sort_array(F.collect_list(F.struct("c", F.col("top.v").alias("v")))).alias("commonest")
+        )
         agree = functools.reduce(
             Column.__add__,
             [(F.col("sketch")[at + i] == F.col("commonest")[i]["v"]).cast("int") for i in range(SAMPLED)],
         )
-        met = large.join(commonest, "node").select("node", "rep", "agreeing", "size", agree.alias("agree"))
-        best = met.groupBy("node").agg(
-            F.max(F.struct("agree", (-F.col("rep")).alias("r"))).alias("best"),
-            (F.first("agreeing") / F.first("size")).alias("agreeing"),
-        )
-        hub = best.select("node", (-F.col("best.r")).alias("rep"), "agreeing")
+        met = large.join(commonest, "node").select("node", "rep", agree.alias("agree"))
+        best = met.groupBy("node").agg(F.max(F.struct("agree", (-F.col("rep")).alias("r"))).alias("best"))
+        hub = best.select("node", (-F.col("best.r")).alias("rep"))
         return stored(
             hub.join(large, ["node", "rep"]).select(
-                "node", F.col("rep").alias("hub"), F.col("label").alias("hub_label"), "agreeing",
+                "node", F.col("rep").alias("hub"), F.col("label").alias("hub_label"),
                 F.col("sketch").alias("hub_sketch"),
             ),
             "near-hubs",
@@ -374,11 +407,11 @@ class _Join:
         """One round over large nodes: links with hubs, links of the members that are unlike their hub
         where these are few, and the rows of the children of the other nodes."""
         met = large.join(self.hubs(large), "node").select(
-            "node", "rep", "n", "sketch", "label", "hub", "hub_label", "agreeing", "hub_sketch"
+            "node", "rep", "n", "sketch", "label", "hub", "hub_label", "hub_sketch"
         )
         told = met.mapInArrow(
             functools.partial(_like_hub, self.least),
-            "node long, rep long, n int, sketch array<int>, label long, hub long, hub_label long, agreeing double, alike boolean",
+            "node long, rep long, n int, sketch array<int>, label long, hub long, hub_label long, alike boolean",
         )
         inside = F.col("alike") | F.coalesce(F.col("label") == F.col("hub_label"), F.lit(False))
         group = F.when(inside, F.xxhash64("node", F.lit("hub"))).otherwise(F.col("label"))
@@ -386,28 +419,30 @@ class _Join:
         links = told.where("alike and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
         counts = told.groupBy("node").agg(F.count("*").alias("size"), F.count_if(~F.col("inside")).alias("unlike"))
         counts = stored(counts.where("unlike > 0"), "near-unlike")
-        few = counts.where(F.col("unlike") <= SMALL).withColumn("chunks", F.ceil(F.col("size") / (2 * SMALL)))
-        rows = told.join(few.select("node", "chunks"), "node")
-        kept = ["node", "chunk", "rep", "n", "sketch", "label"]
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-        left = rows.where("not inside").withColumn("chunk", every).select(*kept)
-        right = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))).select(*kept)
+        few = counts.where(F.col("unlike") <= FEW).select(
+            "node", F.ceil(F.col("unlike") / BLOCK).alias("lefts"), F.ceil(F.col("size") / BLOCK).alias("rights")
+        )
+        rows = told.join(few, "node")
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+        key = ["node", "l", "r"]
+        kept = [*key, "rep", "n", "sketch", "label"]
+        left = rows.where("not inside").withColumn("l", own("lefts")).withColumn("r", upto("rights")).select(*kept)
+        right = rows.withColumn("r", own("rights")).withColumn("l", upto("lefts")).select(*kept)
         least, share = self.least, self.share
 
         def compare(left: pa.Table, right: pa.Table) -> pa.Table:
             return _alike_across(left, right, least, share)
 
-        key = ["node", "chunk"]
         # Stored apart: Spark cannot tell two sides apart that come from one frame.
         left, right = stored(left, "near-few"), stored(right, "near-whole")
         more = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "a long, b long")
         more = stored(more, "near-alike")
-        chosen = [F.pmod(F.xxhash64("node", F.lit(i)), F.lit(SKETCH)).cast("int") for i in range(BRANCHES)]
-        extra = self.share[1] / self.share[0] - 1
-        rarely = F.pmod(F.xxhash64("node", F.lit("extra")), F.lit(1_000)) < int(1_000 * extra)
-        second = F.when((F.col("agreeing") < DENSE) | rarely, chosen[1])
-        rows = told.join(counts.where(F.col("unlike") > SMALL).select("node"), "node")
-        rows = rows.withColumn("c", F.explode(F.array_compact(F.array(chosen[0], second))))
+        # Distinct coordinates: fewer, in the mean, would let pairs at the threshold die out.
+        first = F.pmod(F.xxhash64("node"), F.lit(SKETCH))
+        chosen = [F.pmod(first + i * (SKETCH // BRANCHES), F.lit(SKETCH)).cast("int") for i in range(BRANCHES)]
+        rows = told.join(counts.where(F.col("unlike") > FEW).select("node"), "node")
+        rows = rows.withColumn("c", F.explode(F.array(*chosen)))
         rows = rows.select(
             F.xxhash64("node", "c", F.element_at("sketch", F.col("c") + 1)).alias("node"), "rep", "n", "sketch", "label"
         )

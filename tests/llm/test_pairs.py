@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tallyfield.llm import decontaminate, line_dedup, near_dedup
@@ -66,6 +67,68 @@ def test_components_through_large_nodes_and_clusters(spark, monkeypatch):
     assert {i: c for i, (_, c, _) in found.items()} == cases.plain_components(rows, 3, (85, 100))
 
 
+def borderline_pairs(n: int, seed: int) -> list[str]:
+    """Texts that share half of their words with all others, in pairs of similarity 0.858 by words of 3."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(60)]
+    made = []
+    for i in range(n):
+        own = [f"q{rng.randrange(10**9)}" for _ in range(60)]
+        made.append(" ".join([*passage, *own]))
+        made.append(" ".join([*passage, *own[:-9], *(f"r{i}n{k}" for k in range(9))]))
+    return made
+
+
+def test_pairs_through_branching_nodes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 25)
+    monkeypatch.setattr(near_dedup, "FEW", 25)
+    rows = list(enumerate(borderline_pairs(1_000, 1)))
+    found = result(near_dedup.near_duplicates(cases.documents(spark, rows, False), width=3, share=(85, 100)))
+    lost = [i for i, _ in rows if found[i][1] != i - i % 2]
+    assert not lost, f"{len(lost)} of {len(rows) // 2} pairs"
+
+
+def large_family(spark, n: int):
+    """Rows of one node: sketches that take the commonest value in half of the places, as of slot-filled
+    pages, in pairs (2 i, 2 i + 1) that agree in 54 of 64."""
+    rng = np.random.default_rng(1)
+    one = rng.integers(0, 3, (n, near_dedup.SKETCH)) * (rng.random((n, near_dedup.SKETCH)) < 0.75)
+    other = one.copy()
+    for row in other:
+        row[rng.choice(near_dedup.SKETCH, 10, replace=False)] += 3
+    both = np.stack([one, other], axis=1).reshape(2 * n, -1)
+    rows = [(7, i, 100, v.tolist(), None, 2 * n) for i, v in enumerate(both)]
+    return spark.createDataFrame(rows, "node long, rep long, n int, sketch array<int>, label long, size long")
+
+
+def bare_join(share):
+    join = near_dedup._Join.__new__(near_dedup._Join)
+    join.share, join.least = share, int(near_dedup.SKETCH * (share[0] / share[1] - near_dedup.SLACK))
+    return join
+
+
+def assert_pairs_joined(found, n: int):
+    root = near_dedup._Groups(2 * n)
+    for links in found:
+        for r in links.collect():
+            root.join(r.a, r.b)
+    assert all(root.root(2 * i) == root.root(2 * i + 1) for i in range(n))
+
+
+def test_a_large_node_is_compared_in_blocks(spark, monkeypatch):
+    """Nothing is left to chance in a node with more than SMALL members unlike the hub."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 900, raising=False)
+    rows = large_family(spark, 1_500)
+    found, rest = bare_join((85, 100)).divide(near_dedup.stored(rows, "near-test"))
+    assert rest.count() == 0
+    assert_pairs_joined(found, 1_500)
+
+
+def test_reckoned_recall_meets_its_target():
+    assert near_dedup.missed(0.85) <= 3e-7
+    assert near_dedup.missed(0.8) <= 1e-5
+
+
 def test_near_dedup_of_odd_documents(spark):
     rows = near_dedup.near_duplicates(cases.odd(spark), width=3, share=(85, 100)).collect()
     assert len(rows) == len(cases.ODD_ROWS)
