@@ -403,9 +403,10 @@ class _Join:
             "near-hubs",
         )
 
-    def divide(self, large: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    def divide(self, large: DataFrame, last: bool = False) -> tuple[list[DataFrame], DataFrame]:
         """One round over large nodes: links with hubs, links of the members that are unlike their hub
-        where these are few, and the rows of the children of the other nodes."""
+        where these are few, and the rows of the children of the other nodes. In the last round any number
+        is few: blocks are bounded, whatever the size of the node."""
         met = large.join(self.hubs(large), "node").select(
             "node", "rep", "n", "sketch", "label", "hub", "hub_label", "hub_sketch"
         )
@@ -419,7 +420,8 @@ class _Join:
         links = told.where("alike and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
         counts = told.groupBy("node").agg(F.count("*").alias("size"), F.count_if(~F.col("inside")).alias("unlike"))
         counts = stored(counts.where("unlike > 0"), "near-unlike")
-        few = counts.where(F.col("unlike") <= FEW).select(
+        is_few = F.lit(last) | (F.col("unlike") <= FEW)
+        few = counts.where(is_few).select(
             "node", F.ceil(F.col("unlike") / BLOCK).alias("lefts"), F.ceil(F.col("size") / BLOCK).alias("rights")
         )
         rows = told.join(few, "node")
@@ -441,7 +443,7 @@ class _Join:
         # Distinct coordinates: fewer, in the mean, would let pairs at the threshold die out.
         first = F.pmod(F.xxhash64("node"), F.lit(SKETCH))
         chosen = [F.pmod(first + i * (SKETCH // BRANCHES), F.lit(SKETCH)).cast("int") for i in range(BRANCHES)]
-        rows = told.join(counts.where(F.col("unlike") > FEW).select("node"), "node")
+        rows = told.join(counts.where(~is_few).select("node"), "node")
         rows = rows.withColumn("c", F.explode(F.array(*chosen)))
         rows = rows.select(
             F.xxhash64("node", "c", F.element_at("sketch", F.col("c") + 1)).alias("node"), "rep", "n", "sketch", "label"
@@ -461,7 +463,8 @@ class _Join:
             found.append(stored(self.exhaustive(nodes.where(F.col("size") <= SMALL)), "near-alike"))
             large = nodes.where(F.col("size") > SMALL)
         else:  # what no coordinate divides is compared in full
-            found.append(self.exhaustive(large))
+            if large.limit(1).count():
+                found += self.divide(large, last=True)[0]
         links = functools.reduce(DataFrame.unionByName, found)
         return components(links).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyfield.llm import decontaminate, line_dedup, near_dedup
 from tallyfield.llm.components import components
@@ -124,6 +125,20 @@ def test_a_large_node_is_compared_in_blocks(spark, monkeypatch):
     assert_pairs_joined(found, 1_500)
 
 
+def test_the_last_round_compares_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MOST_ROUNDS", 0)
+    monkeypatch.setattr(near_dedup, "FEW", 10)
+    monkeypatch.setattr(near_dedup, "BLOCK", 900)
+    rows = near_dedup.stored(large_family(spark, 1_500), "near-test")
+    join, tasks = bare_join((85, 100)), []
+    join.first_nodes = lambda: rows
+    join.exhaustive = lambda nodes: tasks.append(nodes.count()) or nodes.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    found = join.clusters().collect()
+    assert max(tasks) <= near_dedup.SMALL
+    group = {r.rep: r.cluster for r in found}
+    assert all(2 * i in group and group[2 * i] == group.get(2 * i + 1) for i in range(1_500))
+
+
 def test_reckoned_recall_meets_its_target():
     assert near_dedup.missed(0.85) <= 3e-7
     assert near_dedup.missed(0.8) <= 1e-5
