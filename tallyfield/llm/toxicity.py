@@ -5,6 +5,7 @@ but the class prior. With prior p, the risk of calling clean texts toxic is what
 what P shows, and is kept from going below 0: where a batch drives it there, the step goes back. The
 classifiers are linear, over the presence of words and beginnings of words, written in numpy; a few are
 trained from different seeds and their margins averaged. The prior also places the cut between the two.
+It is held between 0.0001 and 0.5: labels with more than half toxic get a prior that is too small.
 
 P and U are bounded samples (``MOST_POSITIVE``, ``MOST_UNLABELLED`` documents, those with the smallest
 hash of their id); whole texts of them are used, and every document is scored on its whole text.
