@@ -205,7 +205,10 @@ def toxicity_scores(
     sample = p.select("doc_id", F.lit(True).alias("positive")).unionByName(
         u.select("doc_id", F.lit(False).alias("positive"))
     )
-    texts = plain.join(F.broadcast(sample.distinct()), "doc_id").select("positive", "text")
+    met = plain.join(F.broadcast(sample.distinct()), "doc_id")
+    # The bound holds for rows: of several rows of an id the one with the smallest hash of its text.
+    row = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r")
+    texts = met.groupBy("positive", "doc_id").agg(row).select("positive", "r.text")
     rows = texts.mapInArrow(_collected, "positive boolean, x array<int>").toArrow()
     is_positive = rows.column("positive").to_pylist()
     sets = [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in rows.column("x")]

@@ -64,6 +64,17 @@ def test_scores_of_odd_documents(spark, run):
     assert len(run(cases.odd(spark), labels.where("false")).collect()) == len(cases.ODD_ROWS)
 
 
+def test_toxicity_sample_is_bounded_in_rows(spark, monkeypatch):
+    seen = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda p, u, prior: seen.append((len(p), len(u))) or fit(p, u, prior))
+    hot = next(i for i in range(100) if not cases.in_fold(i, 5) == 0)
+    docs = cases.documents(spark, [(hot, f"text number {k}") for k in range(60)], False)
+    labels = spark.createDataFrame([(hot, 1)], "doc_id long, toxic int")
+    assert toxicity.toxicity_scores(docs, labels, most_positive=1, most_unlabelled=5).count() == 60
+    assert seen[0][0] == 1 and 0 < seen[0][1] <= 5
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = np.zeros((4_000, len(quality.FEATURES)))
