@@ -33,11 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyfield.llm.tokens import token_cache
+from tallyfield.llm.common import stored
+from tallyfield.llm.tokens import encoder
 
 SHARD_BYTES = 8 * 1024 * 1024
 END_ID = 2
-_AT_ONCE = 200
+_AT_ONCE = 500
 MARK = b"\n"
 _LENGTH = struct.Struct("<Q")
 _SUM = struct.Struct("<I")
@@ -85,7 +86,7 @@ def ids_of(payload: memoryview) -> tuple[int | None, np.ndarray]:
 def _frames(
     path: str, end_id: int, shard_bytes: int, batches: Iterator[pa.RecordBatch]
 ) -> Iterator[pa.RecordBatch]:
-    cache = token_cache(path)
+    ids_by = encoder(path)
     part = TaskContext.get().partitionId()
     shard, held, row = 0, 0, 0
     for batch in batches:
@@ -93,7 +94,7 @@ def _frames(
             some = batch.slice(start, _AT_ONCE)
             shards, rows, frames = [], [], []
             texts = some.column(1).to_pylist()
-            for doc_id, ids in zip(some.column(0).to_pylist(), cache.encode(texts), strict=True):
+            for doc_id, ids in zip(some.column(0).to_pylist(), ids_by.encode(texts), strict=True):
                 ids = np.append(ids, np.array([end_id], ids.dtype))
                 framed = frame(payload_of(doc_id, ids))
                 if held and held + len(framed) > shard_bytes:
@@ -126,6 +127,9 @@ def write_records(
     """Encodes every text with the tokenizer file, appends ``end_id``, and writes record files under
     ``path``, one folder a shard, in ascending order of ids.
 
+    Ids are those of the library's plain ``encode(text, add_special_tokens=False)``, whatever the
+    tokenizer: the text of a special token becomes that token.
+
     Rows without an id come first; a NULL or empty text is the end id alone; repeated rows are
     records of their own, in no order among themselves that matters; an empty table writes no shard.
     Ranges are cut by id, then by text, then at random, so that one id in many rows is spread too.
@@ -173,7 +177,7 @@ def write_index(spark: SparkSession, path: str, index_path: str) -> None:
     (one row per shard of ``SHARD_BYTES`` stands in that window).
     """
     schema = "shard long, record long, offset long, length long, doc_id long, n_tokens long"
-    rows = _files(spark, path).mapInArrow(_indexed, schema)
+    rows = stored(_files(spark, path).mapInArrow(_indexed, schema), "record-places")
     per_shard = rows.groupBy("shard").agg(F.sum("n_tokens").alias("tokens"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_shard.select("shard", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("shard_start"))

@@ -1,105 +1,203 @@
-"""Encoding texts with a tokenizer file, each distinct piece once.
+"""Encoding texts with a tokenizer, each distinct piece of text once.
 
-The byte-level pre-tokenizer cuts a text before every blank and on both sides of every line feed that
-stands between two characters that are no white space. The ids of a text are those of its pieces
-between such cuts, one after another. Pieces recur far more often than whole texts, and the library
-encodes each distinct one, in batches. A text with white space side by side is cut only where that rule
-is sure, so its pieces are longer.
+Two places are cuts for certain: a blank between two characters that are no white space, and, for the
+byte-level tokenizer, a line feed (or two) between such characters. The ids of a text are those of its
+pieces between such cuts, one after another. Pieces recur far more often than whole texts. New ones are
+encoded many at a time, joined by line feeds, which costs a third of encoding them singly. Tokenizers
+that do not cut this way, and texts that hold the text of a special token, are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_SIDE_BY_SIDE = re.compile(r"\s\s")
-# Distinct pieces held in a worker; beyond, those not met lately go.
-MOST_PIECES = 600_000
-
-_caches: dict[tuple[str, int], TokenCache] = {}
-
-
-def token_cache(path: str, most_pieces: int = MOST_PIECES) -> TokenCache:
-    """The worker's own cache for a tokenizer file: it outlives a task, as workers do."""
-    key = (path, most_pieces)
-    if key not in _caches:
-        _caches[key] = TokenCache(path, most_pieces)
-    return _caches[key]
-
-
-class TokenCache:
-    """Ids of pieces, by a tokenizer from the ``tokenizers`` library."""
-
-    def __init__(self, path: str, most_pieces: int = MOST_PIECES):
+# Characters that are surely no white space: letters, digits, the visible ASCII signs.
+_SEEN = r"[\w!-~]"
+CUT = re.compile(rf"(?<={_SEEN}) (?={_SEEN})")
+_ODD_BLANK = rf" (?:(?<!{_SEEN} )|(?!{_SEEN}))"
+_ODD_FEED = r"\n(?:(?<![\w!-~\n]\n)|(?![\w!-~\n])|(?=\n\n))"
+ODD_BLANKS = re.compile(_ODD_BLANK)
+_ODD = re.compile(rf"{_ODD_BLANK}|{_ODD_FEED}")
+_JOINED = 20_000
+# Pieces held in a worker: at most so many, of so many characters and bytes of ids together.
+MOST_PIECES = 400_000
+MOST_BYTES = 24_000_000
+
+
+def byte_signs() -> str:
+    """The byte-level spelling: the sign for each byte. A visible byte is the sign of that number, the
+    others are numbered on from 256."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = (b for b in range(256) if b not in seen)
+    return "".join(chr(b) if b in seen else chr(256 + n) for b, n in sorted([*((b, 0) for b in seen), *((b, i) for i, b in enumerate(hidden))]))
+
+
+_SIGNS = dict(enumerate(byte_signs()))
+
+
+def _spelt(text: str) -> str:
+    if text.isascii() and text.isalpha():
+        return text
+    return text.encode().decode("latin-1").translate(_SIGNS)
+
+
+class PieceIds:
+    """The ids of pieces, as bytes, remembered up to a bound."""
+
+    def __init__(
+        self,
+        encode: Callable[[list[str]], Iterable[bytes]],
+        most_pieces: int = MOST_PIECES,
+        most_bytes: int = MOST_BYTES,
+    ):
+        self.encode, self.most_pieces, self.most_bytes = encode, most_pieces, most_bytes
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.held = 0
+
+    def of(self, groups: list[list[str]]) -> list[bytes]:
+        """For each group of pieces its ids, one piece after another."""
+        wanted = set().union(*groups)
+        if len(self.known) > self.most_pieces // 2 or self.held > self.most_bytes // 2:
+            # Two generations: what is met again moves to the newer, the older is let go.
+            self.before, self.known, self.held = self.known, {}, 0
+        new = wanted.difference(self.known)
+        if self.before and new:
+            old = self.before
+            met = {p: old[p] for p in new if p in old}
+            self._keep(met)
+            new.difference_update(met)
+        if new:
+            fresh = list(new)
+            self._keep(dict(zip(fresh, self.encode(fresh), strict=True)))
+        of = self.known.__getitem__
+        return [b"".join(map(of, group)) for group in groups]
+
+    def _keep(self, pieces: dict[str, bytes]) -> None:
+        self.known.update(pieces)
+        self.held += sum(map(len, pieces)) + sum(map(len, pieces.values()))
+
+
+def _cuts_as_known(file: dict) -> bool:
+    """Whether a tokenizer file cuts texts by the byte-level rule, and changes nothing else."""
+    before = file.get("pre_tokenizer") or {}
+    return (
+        before.get("type") == "ByteLevel"
+        and not before.get("add_prefix_space")
+        and before.get("use_regex", True)
+        and not any(file.get(part) for part in ("normalizer", "truncation", "padding"))
+        and (file.get("model") or {}).get("type") == "BPE"
+    )
+
+
+class Encoder:
+    """Ids by a file of the ``tokenizers`` library, as ``encode(text, add_special_tokens=False)`` gives
+    them. With ``special_as_text`` the strings of special tokens in a text are ordinary text."""
+
+    def __init__(self, path: str, special_as_text: bool = False, **bounds: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
-        self.most_pieces = most_pieces
-        self.feed = self._ids(["\n"])[0]
-        self.marks = dict(zip(",.", self._ids([",", "."]), strict=True))
-        # Ids of a piece at the beginning of a line, and of one after a blank (blank included).
-        self.first: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
-        self.lately: set[str] | None = None
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
-
-    def encode(self, texts: list[str | None], group: int = 200) -> Iterator[np.ndarray]:
-        for start in range(0, len(texts), group):
-            yield from self._encode([t or "" for t in texts[start : start + group]])
-
-    def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
-        new = [p for p in pieces if p not in known]
-        # A mark after a letter at the end of a piece is always a token of its own.
-        marked = [p for p in new if p[-1:] in self.marks and p[-2:-1].isalpha()]
-        bare = {p[:-1] for p in marked if p[:-1] not in known}
-        bare.update(p for p in new if not (p[-1:] in self.marks and p[-2:-1].isalpha()))
-        whole = list(bare)
-        known.update(zip(whole, self._ids([before + piece for piece in whole]), strict=True))
-        known.update((p, known[p[:-1]] + self.marks[p[-1]]) for p in marked)
-
-    def _make_room(self, pieces: set[str]) -> None:
-        if len(self.first) > self.most_pieces // 4:
-            self.first = {}
-        if self.lately is not None:
-            self.lately |= pieces
-        elif len(self.after) > self.most_pieces // 2:
-            self.lately = set(pieces)
-        if len(self.after) > self.most_pieces:
-            self.after = {p: self.after[p] for p in self.lately if p in self.after}
-            self.lately = None
-            if len(self.after) > self.most_pieces // 2:
-                self.after = {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        # A text is a list of lines, a line a list of pieces.
-        cut = [
-            [_CUT.split(t)] if _SIDE_BY_SIDE.search(t) else [line.split(" ") for line in t.split("\n")]
-            for t in texts
-        ]
-        firsts, others = set(), set()
-        for lines in cut:
-            for pieces in lines:
-                firsts.add(pieces[0])
-                others.update(pieces[1:])
-        self._make_room(others)
-        self._learn(self.first, firsts, "")
-        self._learn(self.after, others, " ")
-        first, after, found = self.first, self.after.__getitem__, []
-        for lines in cut:
-            parts = []
-            for pieces in lines:
-                parts.append(self.feed)
-                parts.append(first[pieces[0]])
-                parts.extend(map(after, pieces[1:]))
-            found.append(np.frombuffer(b"".join(parts[1:]), self.dtype))
+        file = json.loads(self.tokenizer.to_str())
+        self.tokenizer.encode_special_tokens = special_as_text
+        size = self.tokenizer.get_vocab_size(True)
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        added = file.get("added_tokens") or []
+        self.special = [] if special_as_text else [t["content"] for t in added if t["special"]]
+        self.by_pieces = _cuts_as_known(file) and not any(not t["special"] for t in added)
+        if self.by_pieces:
+            feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+            marks = [self.tokenizer.encode(m, add_special_tokens=False).ids for m in ",."]
+            self.by_pieces = len(feed) == 1
+            self.feed = feed[0]
+            self.marks = {m: np.array(ids, self.dtype).tobytes() for m, ids in zip(",.", marks, strict=True)}
+            # The same model behind a cutting at blanks alone.
+            self.by_words = Tokenizer.from_file(path)
+            self.by_words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.blank_sign, self.feed_sign = _spelt(" "), _spelt("\n")
+            self.pieces = PieceIds(self._encode_pieces, **bounds)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that the cutting rule leaves whole, given in the tokenizer's own spelling: they
+        go to the model past the cutting, one line of words for all, with a line feed behind each."""
+        found = []
+        for start in range(0, len(words), _JOINED):
+            some = words[start : start + _JOINED]
+            line = f" {self.feed_sign} ".join(some) + f" {self.feed_sign}"
+            ids = np.array(self.by_words.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(ids == self.feed)
+            if len(ends) != len(some) or ends[-1] != len(ids) - 1:
+                raise AssertionError("a line feed is not a token of its own")
+            data, width, at = ids.tobytes(), self.dtype.itemsize, 0
+            for end in (ends * width).tolist():
+                found.append(data[at:end])
+                at = end + width
         return found
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        # A mark behind a letter at the end of a piece is a token of its own.
+        bare = [p[:-1] if p.endswith((",", ".")) and p[-2:-1].isalpha() else p for p in pieces]
+        ids = {b: self.pieces.known[b] for b in bare if b in self.pieces.known}
+        new = list(set(bare).difference(ids))
+        # Words of letters alone, behind a blank or at the beginning of a line, are never cut.
+        words = [b for b in new if b.isalpha()]
+        lines = [b for b in new if b[:1] == "\n" and b[1:].isalpha()]
+        others = list(set(new).difference(words, lines))
+        found = self._of_words([self.blank_sign + _spelt(b) for b in words] + [_spelt(b[1:]) for b in lines])
+        ids |= zip(words, found[: len(words)], strict=True)
+        feed = np.array([self.feed], self.dtype).tobytes()
+        ids |= {b: feed + x for b, x in zip(lines, found[len(words) :], strict=True)}
+        ids |= zip(others, self._whole([b if b.startswith("\n") else " " + b for b in others]), strict=True)
+        return [ids[b] if len(b) == len(p) else ids[b] + self.marks[p[-1]] for b, p in zip(bare, pieces, strict=True)]
+
+    def encode(self, texts: list[str | None], blank_before: bool = False) -> list[np.ndarray]:
+        """The ids of each text (NULL: empty), with a blank put before it if so wished."""
+        texts = [t or "" for t in texts]
+        if not self.by_pieces:
+            found = self._whole([" " + t for t in texts] if blank_before else texts)
+            return [np.frombuffer(f, self.dtype) for f in found]
+        ids: list[bytes | None] = [None] * len(texts)
+        whole, cut = [], []
+        for i, text in enumerate(texts):
+            if self.special and any(s in text for s in self.special):
+                whole.append(i)
+            elif not _ODD.search(text):
+                cut.append((i, text.replace("\n", " \n").split(" ")))
+            else:
+                cut.append((i, CUT.split(text)))
+        # A text's first piece stands behind no blank, unless one is put there or it begins a line.
+        first = [p[0] for _, p in cut]
+        if blank_before:
+            heads = [b""] * len(cut)
+            whole += [i for (i, _), p in zip(cut, first, strict=True) if p.startswith("\n")]
+        else:
+            heads = self._whole(first)
+        rest = self.pieces.of([p if blank_before else p[1:] for _, p in cut]) if cut else []
+        for (i, _), head, tail in zip(cut, heads, rest, strict=True):
+            ids[i] = head + tail
+        if whole:
+            found = self._whole([" " + texts[i] if blank_before else texts[i] for i in whole])
+            for i, x in zip(whole, found, strict=True):
+                ids[i] = x
+        return [np.frombuffer(x, self.dtype) for x in ids]
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    """The worker's own encoder for a file: it outlives a task, as workers do."""
+    key = (path, special_as_text)
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, special_as_text)
+    return _encoders[key]

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tallyfield.llm import ann, pii, quality, records, registered, toxicity
 from tallyfield.llm.common import table
-from tallyfield.llm.tokens import TokenCache
+from tallyfield.llm.tokens import Encoder
 from tests.llm import cases
 
 SF = "/root/testdata/sf0.1"  # enough labels to learn from
@@ -132,24 +132,53 @@ def test_neighbours_of_odd_vectors(spark):
 
 @functools.cache
 def plain_tokenizer() -> Tokenizer:
-    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def plain_tokens(text):
     return plain_tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("most", [500_000, 3])
-def test_pieces_give_the_ids_of_whole_texts(most):
+TOKEN_PARTS = [
+    "a", "the", "Word", " ", "  ", "\n", "\n\n", "\t", "don't", "'s", "é", "\u00a0", "\u3000", "12", "!!", "<|endoftext|>", "\x1c",
+    "\u200b", "x\ny", ",", ".", "end.", "中文", "😀", "_", "\x00", "\r\n", "e\u0301",
+]
+
+
+def token_texts() -> list[str | None]:
     rng = random.Random(1)
-    parts = ["a", "the", " ", "  ", "\n", "\t", "don't", "é", " ", "　", "12", "!!", "<|endoftext|>", "\x1c", "​", "x\ny", ","]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(600)]
-    texts += [None, "", " ", "a ", " a", "a b", "a  b", "a \nb"]
-    cache = TokenCache(str(public_tokenizers.path("byte_bpe_50k.json")), most)
-    for text, ids in zip(texts, cache.encode(texts, 7), strict=True):
-        assert ids.tolist() == plain_tokens(text), repr(text)
+    texts = ["".join(rng.choice(TOKEN_PARTS) for _ in range(rng.randrange(30))) for _ in range(3_000)]
+    return [*texts, None, "", " ", "a ", " a", "a b", "a  b", "a \nb", "\nb", "a\n", "a\n\nb", "a\n\n\nb", "x" * 50_000]
+
+
+@pytest.mark.parametrize("most", [400_000, 3])
+@pytest.mark.parametrize("special_as_text", [False, True])
+@pytest.mark.parametrize("blank", [False, True])
+def test_pieces_give_the_ids_of_whole_texts(most, special_as_text, blank):
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = special_as_text
+    encoder, texts = Encoder(path, special_as_text, most_pieces=most), token_texts()
+    assert encoder.by_pieces
+    for start in range(0, len(texts), 70):
+        some = texts[start : start + 70]
+        for text, ids in zip(some, encoder.encode(some, blank), strict=True):
+            assert ids.tolist() == plain.encode(" " * blank + (text or ""), add_special_tokens=False).ids, repr(text)
+
+
+def test_special_tokens_in_a_text_are_the_librarys():
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    assert 50256 in Encoder(path).encode(["one<|endoftext|>two"])[0]
+    assert 50256 not in Encoder(path, special_as_text=True).encode(["one<|endoftext|>two"])[0]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    plain, encoder = Tokenizer.from_file(path), Encoder(path)
+    assert not encoder.by_pieces
+    texts = token_texts()[-400:]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids
 
 
 def test_records_of_whole_documents(spark):
