@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,17 +26,27 @@ def first_rule(rules: Sequence[tuple[Column, str]], default: str) -> Column:
     return chain.otherwise(default)
 
 
-def _any_of(names: Sequence[str]) -> str:
-    """A regular expression for any of the names, earlier names first.
+def _trie(ranks: dict[str, int]) -> str:
+    """A regular expression for the names that keys of ``ranks`` end in, as a trie folded into groups: at
+    each place of the text one letter is tried once, however many names share it. Where a name is the
+    beginning of others, those of better rank are tried first and the rest are left out."""
+    here = ranks.get("")
+    below: dict[str, dict[str, int]] = {}
+    for name, rank in ranks.items():
+        if name and (here is None or rank < here):
+            below.setdefault(name[0], {})[name[1:]] = rank
+    branches = [re.escape(letter) + _trie(rest) for letter, rest in sorted(below.items())]
+    if here is not None:
+        return f"(?:{'|'.join(branches)}|)" if branches else ""
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
 
-    Grouped by first letter, so that at most positions of the text the match fails after one
-    character per letter rather than one per name.
-    """
-    by_letter = sorted(names, key=lambda n: n[0])
-    return "|".join(
-        re.escape(letter) + "(?:" + "|".join(re.escape(n[1:]) for n in group) + ")"
-        for letter, group in groupby(by_letter, key=lambda n: n[0])
-    )
+
+def _any_of(names: Sequence[str]) -> str:
+    """A regular expression for any of the names, earlier names first where several fit at one place."""
+    ranks: dict[str, int] = {}
+    for rank, name in enumerate(names):
+        ranks.setdefault(name, rank)
+    return _trie(ranks)
 
 
 def _literals(values: Sequence[str]) -> Column:
@@ -72,8 +81,7 @@ def lookup_longest_word(text: Column, tiers: Sequence[tuple[Sequence[str], str |
     """Label of the longest name that occurs as whole words, else NULL; ties go by rank."""
     labels = _ranked(tiers)
     by_length = sorted(labels, key=len, reverse=True)
-    words = "|".join(re.escape(n) for n in by_length)
-    found = F.regexp_extract_all(text, F.lit(rf"(?<!\p{{L}})(?=({words})(?!\p{{L}}))"), 1)
+    found = F.regexp_extract_all(text, F.lit(rf"(?<!\p{{L}})(?=({_any_of(by_length)})(?!\p{{L}}))"), 1)
     best = F.array_min(
         F.transform(found, lambda name: F.array_position(_literals(by_length), name))
     )

@@ -57,12 +57,13 @@ def first_match(text: Column, pattern: str, default: str | None = None) -> Colum
 def list_length(text: Column) -> Column:
     """Number of elements of a list written as text: ``["Wifi", 'TV']`` is 2.
 
-    Single and double quotes and backslash escapes are read. NULL for missing or malformed text. A
-    JSON reader stops at the bracket that closes what it reads, so the text is read inside an object,
-    where nothing may follow the list, and inside an array, where the list must be the only element.
+    Single and double quotes and backslash escapes are read. NULL for missing or malformed text. The text
+    is read once, as the first of two elements of an array; the second holds the text's hash. A JSON reader
+    stops at the bracket that closes what it reads, so only if the hash is met in its place was the text one
+    whole list and nothing else.
     """
-    options = {"allowBackslashEscapingAnyCharacter": "true"}
-    inside = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v array<string>", options)["v"]
-    only = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<array<string>>", options)
-    alone = (F.array_size(only) == 1) & F.get(only, F.lit(0)).isNotNull()
-    return F.when(inside.isNotNull() & alone, F.array_size(F.get(only, F.lit(0))))
+    mark = F.xxhash64(text).cast("string")
+    both = F.concat(F.lit("["), text, F.lit(',["'), mark, F.lit('"]]'))
+    read = F.from_json(both, "array<array<string>>", {"allowBackslashEscapingAnyCharacter": "true"})
+    whole = (F.array_size(read) == 2) & (F.get(F.get(read, F.lit(1)), F.lit(0)) == mark)
+    return F.when(whole, F.array_size(F.get(read, F.lit(0))))

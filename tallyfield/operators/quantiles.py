@@ -1,159 +1,143 @@
 """Exact interpolated quantiles that no single task has to hold, and outlier flags.
 
-The built-in ``percentile`` keeps every distinct value in one task. Here the values are first
-counted per distinct value (so a value shared by a third of the rows becomes one row), then put
-into buckets cut at approximate quantiles of the distinct values. The bucket totals, one row per
-bucket, tell which buckets hold the wanted ranks; only those are sorted, each in a task
-of its own. The cut points decide how even the buckets are, never the result. All steps read the
-same shuffle output, so the table is scanned once.
+The built-in ``percentile`` keeps every distinct value in one task. Here the values at the wanted ranks are
+found by radix selection: every value becomes a whole number of 64 bits in the same order, and the rows are
+counted by its leading 16 bits, then by 12 more bits at a time, but only below the cells that hold a wanted
+rank, until each of these holds one number. A round scans the one column, combines its counts in every task
+and shuffles nothing else; it ends in at most 65,536 totals, later in 4,096 for each of at most two cells per
+wanted fraction, whatever the size of the table or the cluster. These totals are all that the driver sees.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfield.functions.missing import nan_to_null
 
-# Buckets per shuffle partition, unless told otherwise: enough that uneven ones do not matter.
-BUCKETS_PER_PARTITION = 4
-
-
-def bucket_stride(df: DataFrame, buckets: int | None) -> int:
-    """The square root of the number of buckets, rounded up. By default the number follows the
-    shuffle partitions of the session, hence the cluster."""
-    if buckets is None:
-        buckets = BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, math.isqrt(max(buckets, 1) - 1) + 1)
+# Bits of a double: fraction, and what the exponent is raised by.
+_FRACTION = 52
+_RAISED = 1023
+# Bits left after each round.
+ROUNDS = (48, 36, 24, 12, 0)
 
 
 def _array(values: Sequence[float]) -> Column:
     return F.expr("array(" + ", ".join(f"{v!r}{'D' * isinstance(v, float)}" for v in values) + ")")
 
 
-def _with_bucket(counted: DataFrame, stride: int) -> DataFrame:
-    """Adds the number of cut points below the value (by strides first, then within one) and a
-    mark of the cut points used.
+def order_numbers(df: DataFrame, value: Column) -> DataFrame:
+    """``number``: each double as a whole number of 64 bits in the same order, both zeros as 0: its bits
+    without the sign, negated for negative values. NULL and NaN give NULL.
 
-    The cut points are a scalar subquery. It sums the rows only so that it needs the very columns
-    the other steps need and shares their shuffle output.
+    The logarithm may be off by one beside a power of two; comparing with the power puts that right, and
+    all else is exact: dividing by a power of two, and taking away 1. Each step is a projection of its own,
+    so that no expression is written out where it is used.
     """
-    buckets = stride * stride
-    shares = _array([i / buckets for i in range(1, buckets)])
-    # percentile_approx is off by at most 1/accuracy of the rows: a tenth of a bucket on either side.
-    accuracy = 10 * buckets
-    sketch = (
-        counted.agg(
-            F.percentile_approx("value", shares, accuracy).alias("cuts"), F.sum("rows").alias("all")
-        )
-        .select(F.struct("cuts", "all", F.xxhash64("cuts").alias("mark")))
-        .scalar()
+    power = F.pow(F.lit(2.0), F.col("near"))
+    size, exponent = F.col("size"), F.col("exponent")
+    fraction = (size / F.pow(F.lit(2.0), exponent) - 1) * float(1 << _FRACTION)
+    bits = (
+        F.when(size == 0, F.lit(0).cast("long"))
+        .when(size == float("inf"), F.lit((2 * _RAISED + 1) << _FRACTION))
+        .when(size < 2.0 ** (1 - _RAISED), (size * 2.0**537 * 2.0**537).cast("long"))
+        .otherwise(F.shiftleft(exponent.cast("long") + _RAISED, _FRACTION) + fraction.cast("long"))
     )
-
-    def below(positions: Sequence[str]) -> Column:
-        # Plain comparisons, so they are compiled.
-        return F.expr(" + ".join(f"IF(get(cuts, {p}) < value, 1, 0)" for p in positions))
-
-    # The bucket is never NULL: a join would otherwise test it for NULL, and Catalyst would push
-    # that test, with all of this, under the aggregation to every row scanned.
     return (
-        counted.withColumn("sketch", sketch)
-        .select("value", "rows", "sketch.cuts", "sketch.mark")
-        .withColumn("hop", stride * below([str(i) for i in range(stride - 1, buckets - 1, stride)]))
+        df.select(nan_to_null(value.cast("double")).alias("value"))
+        .select(F.abs("value").alias("size"), (F.col("value") < 0).alias("negative"))
+        .select("size", "negative", F.least(F.floor(F.log2(size)), F.lit(_RAISED)).alias("near"))
+        .select("size", "negative", "near", power.alias("power"))
         .select(
-            "value",
-            "rows",
-            (F.col("hop") + below([f"hop + {i}" for i in range(stride)])).alias("bucket"),
-            "mark",
+            "size", "negative",
+            (F.col("near") - (size < F.col("power")).cast("int") + (size >= F.col("power") * 2).cast("int")).alias("exponent"),
         )
-    )
+        .select("negative", bits.alias("bits"))
+        .select(F.when(F.col("negative"), -F.col("bits")).otherwise(F.col("bits")).alias("number"))
+    )
 
 
-def _buckets_with_ranks(bucketed: DataFrame, wanted: Column) -> DataFrame:
-    """``bucket, made_with, before, last, ranks``: the buckets that hold a rank next to a wanted
-    position, the rows before them, and the last rank of all. One row per bucket at most."""
-    # The one window without a partition: it runs over bucket totals, a few per shuffle partition.
-    rising = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    last = F.col("last")
-    nearest = F.flatten(F.transform(wanted, lambda f: F.array(F.floor(last * f), F.ceil(last * f))))
-    inside = F.filter(nearest, lambda r: (r >= F.col("before")) & (r < F.col("upto")))
-    return (
-        bucketed.groupBy("bucket", "mark")
-        .agg(F.sum("rows").alias("held"))
-        .select(
-            "bucket",
-            F.col("mark").alias("made_with"),
-            (F.sum("held").over(rising) - F.col("held")).alias("before"),
-            F.sum("held").over(rising).alias("upto"),
-            (F.sum("held").over(every) - 1).alias("last"),
-        )
-        .select("bucket", "made_with", "before", "last", F.array_distinct(inside).alias("ranks"))
-        .where(F.size("ranks") > 0)
-    )
+def _value_of(number: int) -> float:
+    """The double that ``order_numbers`` made the number of."""
+    size = struct.unpack("<d", struct.pack("<q", abs(number)))[0]
+    return -size if number < 0 else size
 
 
-def exact_quantiles(
-    df: DataFrame, column: str, fractions: Sequence[float], buckets: int | None = None
-) -> DataFrame:
+def _totals(numbers: DataFrame, wanted: list[int] | None, kept: int, left: int) -> np.ndarray:
+    """The cells told by the bits before the last ``left``, below the ``wanted`` cells of the round before
+    (told by the bits before the last ``kept``): cell, rows, least and greatest number, in order of cells.
+    """
+    cell = F.shiftright("number", left)
+    if wanted is not None:
+        # No filter: Catalyst would push it to the scan, where every number would be made a second time.
+        cell = F.when(F.expr(f"shiftright(number, {kept}) IN ({', '.join(map(str, wanted))})"), cell)
+    cells = numbers.groupBy(cell.alias("cell")).agg(
+        F.count("*").alias("rows"), F.min("number").alias("least"), F.max("number").alias("greatest")
+    )
+    found = cells.toArrow()
+    found = found.filter(pc.is_valid(found.column("cell")))
+    table = np.column_stack([found.column(c).to_numpy() for c in ("cell", "rows", "least", "greatest")])
+    return table[np.argsort(table[:, 0])]
+
+
+def _at_ranks(numbers: DataFrame, fractions: Sequence[float]) -> tuple[int, dict[int, int]]:
+    """The last rank, and the number at each rank next to a wanted position."""
+    cells, kept, last, ranks = None, 64, -1, np.zeros(0, np.int64)
+    before: dict[int, int] = {}  # rows before each wanted cell
+    for left in ROUNDS:
+        totals = _totals(numbers, None if cells is None else sorted(before), kept, left)
+        if cells is None:
+            last = int(totals[:, 1].sum()) - 1
+            if last < 0:
+                return last, {}
+            places = [last * float(f) for f in fractions]
+            ranks = np.unique([near(p) for p in places for near in (math.floor, math.ceil)])
+            begins = totals[:, 1].cumsum() - totals[:, 1]
+        else:
+            upper = totals[:, 0] >> (kept - left)
+            first = np.flatnonzero(np.r_[True, upper[1:] != upper[:-1]])
+            running = totals[:, 1].cumsum() - totals[:, 1]
+            offset = np.array([before[int(u)] for u in upper[first]]) - running[first]
+            begins = running + np.repeat(offset, np.diff(np.r_[first, len(upper)]))
+        # Cells in order hold ranks in order, as all wanted cells of the round before are here.
+        at = np.searchsorted(begins, ranks, "right") - 1
+        cells, kept = totals[at], left
+        before = dict(zip(cells[:, 0].tolist(), begins[at].tolist(), strict=True))
+        if (cells[:, 2] == cells[:, 3]).all():
+            break
+    return last, dict(zip(ranks.tolist(), cells[:, 2].tolist(), strict=True))
+
+
+def exact_quantiles(df: DataFrame, column: str, fractions: Sequence[float]) -> DataFrame:
     """``fraction, value``, interpolated linearly between the two nearest ranks.
 
-    Missing values do not count; without any value the result is NULL per fraction. ``buckets`` is
-    how many tasks may share the sorting, rounded up to a square number; by default it is four times
-    the session's shuffle partitions. It never changes the result.
+    Missing values do not count; without any value the result is NULL per fraction. The rounds run when
+    this is called; the result is a table of one row per fraction.
     """
-    # Missing values become one group of no rows. A filter would be cheaper to read, but Catalyst
-    # would compute a derived column once more for it.
-    counted = (
-        df.select(F.col(column).cast("double").alias("value"))
-        .select(nan_to_null(F.col("value")).alias("value"))
-        .groupBy("value")
-        .agg(F.count("value").alias("rows"))
-    )
-    wanted = _array([float(f) for f in fractions])
-    bucketed = _with_bucket(counted, bucket_stride(df, buckets))
-    in_order = (
-        Window.partitionBy("bucket")
-        .orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    upto = F.col("upto")
-    reached = F.filter("ranks", lambda r: (r >= upto - F.col("rows")) & (r < upto))
-    # Totals and values are bucketed by one sketch, as Spark evaluates equal subqueries once. Where
-    # that is turned off, two sketches may cut elsewhere; then fail, rather than mix their buckets.
-    same_cuts = F.when(F.col("mark") == F.col("made_with"), F.col("value")).otherwise(
-        F.raise_error(F.lit("quantile buckets made with different cut points")).cast("double")
-    )
-    at_rank = (
-        bucketed.join(F.broadcast(_buckets_with_ranks(bucketed, wanted)), "bucket")
-        .select("bucket", same_cuts.alias("value"), "rows", "before", "ranks", "last")
-        .select(
-            "value", "rows", "ranks", "last",
-            (F.col("before") + F.sum("rows").over(in_order)).alias("upto"),
-        )
-        .select(F.explode(reached).alias("rank"), "value", "last")
-        # At most two ranks per fraction are left.
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"),
-            F.max("last").alias("last"),
-        )
-        .select("at", "last", F.explode(wanted).alias("fraction"))
-    )
-    position = F.col("last") * F.col("fraction")
-    part = position - F.floor(position)
-    below = F.try_element_at("at", F.floor(position))
-    above = F.try_element_at("at", F.ceil(position))
-    return at_rank.select(
-        "fraction",
-        F.when(part < 0.5, below + (above - below) * part)
-        .otherwise(above - (above - below) * (1 - part))
-        .alias("value"),
-    )
+    last, numbers_at = _at_ranks(order_numbers(df, F.col(column)), fractions)
+    ranks = list(numbers_at)
+    values = dict(zip(ranks, map(_value_of, numbers_at.values()), strict=True))
+
+    def interpolated(fraction: float) -> float | None:
+        if last < 0:
+            return None
+        position = last * fraction
+        below, above = values[math.floor(position)], values[math.ceil(position)]
+        part = position - math.floor(position)
+        if below == above:
+            return below
+        return below + (above - below) * part if part < 0.5 else above - (above - below) * (1 - part)
+
+    found = {"fraction": [float(f) for f in fractions], "value": [interpolated(float(f)) for f in fractions]}
+    schema = pa.schema([("fraction", pa.float64()), ("value", pa.float64())])
+    return df.sparkSession.createDataFrame(pa.table(found, schema=schema))
 
 
 def approximate_quantiles(
@@ -170,11 +154,9 @@ def approximate_quantiles(
     )
 
 
-def percentile_table(
-    df: DataFrame, column: str, name: str = "value", buckets: int | None = None
-) -> DataFrame:
+def percentile_table(df: DataFrame, column: str, name: str = "value") -> DataFrame:
     """``percentile`` 1 to 100 and the value at it, in order."""
-    table = exact_quantiles(df, column, [k / 100 for k in range(1, 101)], buckets)
+    table = exact_quantiles(df, column, [k / 100 for k in range(1, 101)])
     return table.select(
         F.round(F.col("fraction") * 100).cast("bigint").alias("percentile"),
         F.col("value").alias(name),

@@ -289,7 +289,7 @@ def first_match_in_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", host.alias("h"))
 
 
-def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def csv_scan(spark: SparkSession, sf_dir: str, split_files: bool = False) -> DataFrame:
     """Documents written as CSV (quotes, commas and line breaks in the text) and read back."""
     path = scratch_path(spark, "documents-csv")
     table(spark, sf_dir, "documents").write.csv(
@@ -300,10 +300,15 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
     )
-    back = csv_files.read_csv(spark, path, DOCUMENTS)
+    back = csv_files.read_csv(spark, path, DOCUMENTS, split_files=split_files)
     return back.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("hash"))
 
 
+def csv_scan_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, each file read by as many tasks as it has byte ranges."""
+    return csv_scan(spark, sf_dir, split_files=True)
+
+
 def csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written as CSV, with long ids and truth values, and read back without types."""
     path = scratch_path(spark, "orders-csv")
@@ -467,6 +472,7 @@ QUERIES: dict[str, Query] = {
     "json_in": json_in,
     "first_match": first_match_in_url,
     "csv_scan": csv_scan,
+    "csv_scan_split": csv_scan_split,
     "csv_inferred": csv_inferred,
     "csv_parquet": csv_parquet,
     "books_b1": books_b1,

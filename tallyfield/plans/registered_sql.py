@@ -163,6 +163,8 @@ SQL: dict[str, str] = {
         FROM pages""",
     "csv_scan": f"""SELECT doc_id, lang, source, n_chars,
         CASE WHEN text NOT IN ({_texts(NA_TOKENS)}) THEN md5(text) END AS hash FROM documents""",
+    "csv_scan_split": f"""SELECT doc_id, lang, source, n_chars,
+        CASE WHEN text NOT IN ({_texts(NA_TOKENS)}) THEN md5(text) END AS hash FROM documents""",
     "csv_inferred": """SELECT 1003253567000000000 + o_orderkey AS id, o_orderstatus = 'F' AS finished,
         o_totalprice AS price, nullif(o_orderpriority, '5-LOW') AS priority FROM orders""",
     "csv_parquet": "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer",

@@ -76,7 +76,24 @@ def test_table_stored_by_key_is_not_shuffled(spark):
         plan = fresh._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    table_side = plan[plan.index("SortMergeJoin") :]
-    table_side = table_side[table_side.rindex("\n      +- ") :]
-    assert "Bucketed: true" in table_side
-    assert "Exchange" not in table_side
+    lines = plan.split("\n")
+    (scan,) = [i for i, line in enumerate(lines) if "Bucketed: true" in line]
+    assert any("LeftAnti" in line for line in lines)
+    assert not any("Exchange" in line for line in lines[scan - 3 : scan])
+
+
+def test_repeated_and_missing_numbers(spark):
+    """Rows of one key with the same number: one of them, whole, and the same one each time."""
+    stored = spark.createDataFrame([(1, "kept", 1)], "id long, k string, s int")
+    rows = [(1, "no", 0, 0), (2, "a", 1, 5), (2, "b", 2, 5), (2, "a", 1, 5), (3, "late", 1, 9), (3, "unnumbered", 2, None), (4, None, None, 1)]
+    batch = spark.createDataFrame(rows, "id long, k string, s int, seq long")
+    found = [sorted(map(tuple, insert.new_rows(stored, batch.repartition(n), "id", "seq").collect())) for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2]
+    assert found[0][0] in [(2, "a", 1), (2, "b", 2)]
+    assert found[0][1:] == [(3, "unnumbered", 2), (4, None, None)]
+
+
+def test_keys_alone(spark):
+    stored = spark.createDataFrame([(1,)], "id long")
+    batch = spark.createDataFrame([(1, 0), (2, 1), (2, 2)], "id long, seq long")
+    assert rows(insert.new_rows(stored, batch, "id", "seq")) == [(2,)]

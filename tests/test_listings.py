@@ -122,3 +122,25 @@ def test_most_reviewed_outliers(df):
 def test_only_verified_hosts(df):
     assert q.q13b_printed(df.where("host_identity_verified = 't'")).first().n is None
     assert q.q9_instant_bookable(df.where("instant_bookable = 't'")).first().pct_higher is None
+
+
+def test_orders_of_reports(spark):
+    """Reports come in the order they promise: by count, then by key; or by key."""
+    from tallyfield.plans import registered
+
+    sf = "/root/testdata/sf0.001"
+    by_count = {"listings_q4_counts": -1, "listings_q6_counts": -1, "listings_q15": -1, "listings_q17c": -1, "value_counts": -1}
+    for name in by_count:
+        df = registered.QUERIES[name](spark, sf)
+        rows = [tuple(r) for r in df.collect()]
+        number = df.columns.index("n") if "n" in df.columns else len(df.columns) - 1
+        counts = [r[number] for r in rows]
+        assert counts == sorted(counts, reverse=True), name
+        for n in set(counts):
+            keys = [r[:number] + r[number + 1 :] for r in rows if r[number] == n]
+            assert keys == sorted(keys), name
+    for name in ("listings_q6b", "listings_q16b", "listings_q18b", "listings_q18c", "listings_q18d"):
+        df = registered.QUERIES[name](spark, sf)
+        rows = [tuple(r) for r in df.collect()]
+        keys = 1 if name == "listings_q18b" else len(df.columns) - 1
+        assert [r[:keys] for r in rows] == sorted(r[:keys] for r in rows), name

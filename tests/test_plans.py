@@ -3,8 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from tallyfield.operators import quantiles
 from tallyfield.plans import registered, registered_sql
 
 SF = "/root/testdata/sf0.001"
@@ -40,21 +42,31 @@ def test_no_python_no_product_no_whole_table_window(spark, name):
     assert "CartesianProduct" not in plan
     assert "NestedLoopJoin" not in plan
     for window in re.findall(r"Window \[(.*?)\n", plan):
-        # The running total of bucket sizes is the only one over a table, of bounded size.
-        assert "held" in window or "windowspecdefinition(bucket" in window
+        # Running totals over the byte ranges of CSV files, and lines within one range, are the only ones.
+        assert "windowspecdefinition(file" in window
 
 
 def test_one_scan_for_leaders(spark):
     assert scans(executed(registered.q4(spark, SF))) == 1
 
 
-def test_one_scan_for_percentiles(spark):
-    assert scans(executed(registered.q18a(spark, SF))) == 1
+def test_outliers_are_flagged_in_one_scan(spark):
+    """The threshold is found before, in rounds; the plan holds only its one row."""
+    plan = executed(registered.q18b(spark, SF))
+    assert scans(plan) == 1 and "Exchange hashpartitioning(o_" not in plan
 
 
-def test_two_scans_for_outliers(spark):
-    """One for the threshold, one to flag."""
-    assert scans(executed(registered.q18b(spark, SF))) == 2
+def test_no_table_is_shuffled_for_quantiles(spark):
+    """What a round shuffles are counts combined in each task."""
+    numbers = quantiles.order_numbers(spark.read.parquet(f"{SF}/orders.parquet"), F.col("o_totalprice"))
+    plan = final_part(executed(numbers.groupBy(F.shiftright("number", 48).alias("cell")).count()))
+    assert scans(plan) == 1 and plan.count("Exchange") == 1 and "partial_count" in plan
+    assert "LOG2" in plan and plan.count("LOG2") == 1  # every number is made once
+
+
+def test_inserts_are_never_sorted_by_aggregation(spark):
+    plan = registered.insert_or_ignore(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
 
 
 def test_columns_are_pruned_and_null_tests_reach_the_scan(spark):

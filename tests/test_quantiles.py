@@ -83,13 +83,54 @@ def test_top_flagged(spark):
     assert [r.id for r in top.collect()] == [3, 4]
 
 
-@pytest.mark.parametrize("buckets", [1, 4, 256, 2_048])
-def test_number_of_buckets_does_not_matter(spark, buckets):
+@pytest.mark.parametrize("partitions", ["1", "8", "500"])
+def test_number_of_partitions_does_not_matter(spark, partitions):
     values = np.random.default_rng(5).integers(0, 3_000, 5_000).astype(float)
-    rows = quantiles.percentile_table(frame(spark, values), "x", buckets=buckets).collect()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = quantiles.percentile_table(frame(spark, values), "x").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert [r.value for r in rows] == list(np.percentile(values, PERCENTS))
 
 
+def test_totals_are_bounded(spark):
+    """However many distinct values: 65,536 totals, then 4,096 for each wanted cell."""
+    numbers = quantiles.order_numbers(spark.range(300_000).select(F.rand(3).alias("x")), F.col("x"))
+    first = quantiles._totals(numbers, None, 64, 48)
+    assert first[:, 1].sum() == 300_000 and len(first) <= 65_536
+    cell = int(first[first[:, 1].argmax()][0])
+    below = quantiles._totals(numbers, [cell], 48, 36)
+    assert below[:, 1].sum() == first[:, 1].max() and 1_000 < len(below) <= 4_096
+
+
+def odd_doubles():
+    powers = np.ldexp(1.0, np.arange(-1074, 1024))
+    near = [np.nextafter(powers, 0), powers, np.nextafter(powers, np.inf)]
+    bits = np.random.default_rng(6).integers(0, 2**63 - 1, 3_000, dtype=np.int64).view(float)
+    sizes = np.concatenate([*near, bits[~np.isnan(bits)], [np.inf, np.finfo(float).max, 0.0]])
+    return np.concatenate([sizes, -sizes])
+
+
+def test_order_numbers(spark):
+    """The bits of a double, in order, and back."""
+    values = odd_doubles()
+    df = spark.createDataFrame([(float(v),) for v in [*values, float("nan")]], "x double")
+    rows = [r.number for r in quantiles.order_numbers(df, F.col("x")).collect()]
+    assert rows.pop() is None
+    for number, value in zip(rows, values, strict=True):
+        size = int(np.abs(value).view(np.int64))
+        assert number == (-size if value < 0 else size)
+        assert quantiles._value_of(number) == value
+
+
+def test_infinite_values(spark):
+    values = [float("-inf"), -1.0, 0.0, 2.0, float("inf")]
+    rows = quantiles.exact_quantiles(frame(spark, values), "x", [0.0, 0.25, 0.5, 1.0]).collect()
+    assert [r.value for r in rows] == [float("-inf"), -1.0, 0.0, float("inf")]
+
+
 @pytest.mark.parametrize(
     "setting",
     ["spark.sql.adaptive.enabled", "spark.sql.exchange.reuse", "spark.sql.execution.reuseSubquery"],

@@ -1,11 +1,15 @@
 """CSV and JSON files."""
 
+import csv
+import io
 import json
+import random
+from collections import Counter
 from datetime import date
 from pathlib import Path
 
 import pytest
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyfield.operators import inspect
 from tallyfield.plans import books, listings
@@ -227,3 +231,62 @@ def test_address_in_log(spark):
         "https://ab-1.trycloudflare.com",
         books.NOT_YET,
     ]
+
+
+def random_csv(rng, eol, rows=80):
+    parts = ["a", "bb", ",", '"', "\n", "\n\n", " ", "é", "x\ny", "'", "7"]
+    field = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+    text = io.StringIO(newline="")
+    writer = csv.writer(text, lineterminator=eol)
+    writer.writerows([["id", "a", "b"], *([i, field(), field()] for i in range(rows))])
+    return text.getvalue()
+
+
+@pytest.fixture
+def small_ranges(spark):
+    names = {"spark.sql.files.maxPartitionBytes": "150", "spark.sql.files.openCostInBytes": "1"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("eol", ["\n", "\r\n"])
+def test_csv_split_between_tasks(spark, tmp_path, small_ranges, eol):
+    rng = random.Random(4)
+    for n in range(3):
+        (tmp_path / f"{n}.csv").write_text(random_csv(rng, eol), encoding="utf8", newline="")
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+    one = csv_files.read_csv(spark, str(tmp_path), LETTERS)
+    many = csv_files.read_csv(spark, str(tmp_path), LETTERS, split_files=True)
+    assert many.schema == one.schema
+    assert Counter(many.collect()) == Counter(one.collect()) and one.count() == 240
+
+
+LETTERS = StructType([StructField("id", LongType())])
+
+
+def test_csv_split_one_record_over_all_ranges(spark, tmp_path, small_ranges):
+    text = "\n".join(f"line {i}, and more" for i in range(300))
+    (tmp_path / "t.csv").write_text(f'id,a,b\n1,"{text}",x\n2,y,\n', encoding="utf8")
+    rows = csv_files.read_csv(spark, str(tmp_path), LETTERS, split_files=True).collect()
+    assert sorted(map(tuple, rows)) == [(1, text, "x"), (2, "y", None)]
+
+
+@pytest.mark.parametrize("content", ["id,a,b\n1,x\n", "id,a,b\n1,x,y,z\n", 'id,a,b\n1,5" nail,y\n2,x,z\n', "id,a,b\n1,x,y\n"])
+def test_csv_split_fails_like_in_one_piece(spark, tmp_path, content):
+    (tmp_path / "1.csv").write_text(content, encoding="utf8")
+    (tmp_path / "2.csv").write_text("id,b,a\n1,x,y\n", encoding="utf8")
+    only = str(tmp_path / "1.csv")
+    if content.endswith("1,x,y\n"):
+        assert csv_files.read_csv(spark, only, LETTERS, split_files=True).count() == 1
+        only = str(tmp_path)
+    with pytest.raises(Exception, match="MALFORMED|header"):
+        csv_files.read_csv(spark, only, LETTERS, split_files=True).select("id").collect()
+
+
+def test_csv_split_without_rows(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("\ufeffid,a,b\n\n", encoding="utf8")
+    assert csv_files.read_csv(spark, str(tmp_path), LETTERS, split_files=True).collect() == []
