@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfield.session import scratch_path
@@ -23,6 +23,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as it must be written where dots would part it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(docs: DataFrame, names: list[str] | None = None) -> Column:
+    """All columns as one struct, so that none can clash with those of an operator."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in (docs.columns if names is None else names)])
+
+
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows``, stored, with ``__rank``: a number from 0 on for each row among those of its key.
+
+    Rows are dealt by ranges of key and of a number of their own, so a key with most of the rows fills many
+    tasks. A row's place in its task is known from the order alone; one row per key and task says how many
+    rows of the key come before.
+    """
+    marked = rows.withColumn("__tie", F.monotonically_increasing_id())
+    ordered = marked.repartitionByRange(key, "__tie").sortWithinPartitions(key).drop("__tie")
+    placed = stored(ordered.withColumn("__at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("__at", 33)
+    held = placed.groupBy(F.col(key).alias("__key"), part.alias("__part")).agg(
+        F.min("__at").alias("__first"), F.count("*").alias("__held")
+    )
+    before = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("__before", F.coalesce(F.sum("__held").over(before), F.lit(0)))
+    met = placed.join(held, (F.col(key) == F.col("__key")) & (part == F.col("__part")))
+    rank = F.col("__at") - F.col("__first") + F.col("__before")
+    return met.select(*[F.col(quoted(c)) for c in rows.columns], rank.alias("__rank"))
+
+
 def n_words(text: Column) -> Column:
     """Number of runs of non-blank characters; 0 for NULL.
 

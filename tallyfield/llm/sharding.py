@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import stored
+from tallyfield.llm.common import numbered, stored, whole_row
 
 SHARD_BYTES = 16 * 1024 * 1024
 # Bits of the hash that are used, and the most bits that one pass resolves: its directory has at
@@ -61,9 +61,10 @@ def assign(
 
     Bytes are those of the text in UTF-8 (NULL: 0). The hash covers id and text, so rows that only
     share an id part. Rows that share both cannot part by hash: if together they exceed the limit,
-    they are counted, not gathered, and dealt to numbered pieces of their shard that fit it. A
-    single document above the limit has a shard of its own. An empty table gives no rows. Columns
-    of ``docs`` named like a new one are replaced by it.
+    they are numbered, not gathered, whatever their other columns hold, and dealt to numbered pieces
+    of their shard that fit it. A single document above the limit, however long, has a shard or a
+    piece of its own. An empty table gives no rows. Columns of ``docs`` named like a new one are
+    replaced by it.
     """
     new = ["shard", "depth", "piece", "n_bytes", "shard_bytes"]
     kept = [c for c in docs.columns if c not in new]
@@ -73,7 +74,7 @@ def assign(
     digits = F.substring(F.md5(key.cast("binary")), 1, HASH_BITS // 4)
     # The document travels as one struct, so that its columns cannot clash with these.
     rows = docs.select(
-        F.struct(*[docs[c] for c in kept]).alias("__row"),
+        whole_row(docs, kept).alias("__row"),
         F.conv(digits, 16, 10).cast("long").alias("__hash"),
         F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("__bytes"),
     )
@@ -111,27 +112,23 @@ def assign(
 
 
 def _pieces(found: DataFrame, limit: int) -> DataFrame:
-    """Deals repeated rows whose shard cannot split to pieces within the limit."""
+    """Deals rows whose shard cannot split to pieces within the limit: as they share id and text, all
+    rows of such a shard have the same bytes."""
     large = F.col("__same") & (F.col("__shard_rows") > 1) & (F.col("__shard_bytes") > limit)
     tail = [F.col("__depth").cast("int").alias("depth")]
     plain = found.where(~large).select(
         "__row", "shard", *tail, F.lit(0).cast("long").alias("piece"),
         F.col("__bytes").alias("n_bytes"), F.col("__shard_bytes").alias("shard_bytes"),
     )
-    counted = found.where(large).groupBy("__row", "shard", "__depth", "__bytes").agg(
-        F.count("*").alias("__copies")
+    many = numbered(
+        found.where(large).select("__row", "shard", "__depth", "__bytes", "__shard_rows"), "shard", "shard-pieces"
     )
     each = F.greatest(F.floor(F.lit(limit) / F.col("__bytes")), F.lit(1))
-    pieces = F.ceil(F.col("__copies") / each)
-    dealt = counted.withColumn("__each", each).withColumn(
-        "piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))
-    )
-    here = F.least(F.col("__each"), F.col("__copies") - F.col("piece") * F.col("__each"))
-    dealt = dealt.withColumn("__here", here).repartition("shard", "piece")
+    piece = F.floor(F.col("__rank") / each)
+    here = F.least(each, F.col("__shard_rows") - piece * each)
     return plain.unionByName(
-        dealt.select(
-            "__row", "shard", *tail, "piece", F.col("__bytes").alias("n_bytes"),
-            (F.col("__bytes") * F.col("__here")).alias("shard_bytes"),
-            F.explode(F.array_repeat(F.lit(1), F.col("__here").cast("int"))).alias("__copy"),
-        ).drop("__copy")
+        many.select(
+            "__row", "shard", *tail, piece.alias("piece"), F.col("__bytes").alias("n_bytes"),
+            (F.col("__bytes") * here).alias("shard_bytes"),
+        )
     )
