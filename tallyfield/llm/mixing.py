@@ -3,7 +3,7 @@
 Every slot of the schedule takes one block of equal size. Slot ``i`` stands at the ``i``-th van der
 Corput point (the bits of ``i`` reversed, as a fraction), the point falls into one source's share of
 the cumulative targets, and the slot's rank among the slots of its source says which block it takes.
-A source is one stream of words: its documents in the order of a hash of their ids, cut into blocks
+A source is one stream of words: its documents in the order of a hash of id and text, cut into blocks
 of equal size without regard to where documents end. Each prefix of the schedule therefore holds the
 sources in nearly their shares, and a rerun gives the same schedule.
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import n_words, stored
+from tallyfield.llm.common import n_words, stored, whole_row
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -24,8 +24,11 @@ SLOTS = 65_536
 CELLS = 4_096
 
 
-def _order(doc_id: Column) -> Column:
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def _order(doc_id: Column, text: Column) -> Column:
+    """Where a document stands in its source's stream: a hash of its id and its text, so that rows
+    which share an id, or have none, are spread."""
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), own).cast("binary"))
 
 
 def targets(
@@ -121,16 +124,14 @@ def schedule(
 
 
 def streams(sized: DataFrame, source_targets: DataFrame) -> DataFrame:
-    """``sized`` (doc_id, source, size) with its source's columns, ``row`` (one number per document
+    """``sized`` (doc_id, source, size, order) with its source's columns, ``row`` (one number per document
     within source and bucket) and ``begin``, the document's first word in its source's stream.
 
     The running sum of a source is split over 4,096 ranges of the hash: each range is summed, the
     few sums are accumulated per source, and documents accumulate within their range only. A source
     with a third of all rows is spread over all tasks.
     """
-    ordered = sized.withColumn("order", _order(F.col("doc_id"))).withColumn(
-        "bucket", F.conv(F.substring("order", 1, 3), 16, 10).cast("int")
-    )
+    ordered = sized.withColumn("bucket", F.conv(F.substring("order", 1, 3), 16, 10).cast("int"))
     per_bucket = ordered.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(
         Window.unboundedPreceding, -1
@@ -163,12 +164,14 @@ def mix(
     takes from it, repeats counted).
 
     A NULL source is a source of its own, placed last; a NULL text has no words, is never taken and
-    keeps its row; repeated rows and repeated ids are documents of their own; an empty table gives
-    no rows. Other columns of ``docs`` are not looked at, whatever their names.
+    keeps its row; repeated rows and repeated ids are documents of their own; a very long text is
+    cut into as many blocks as it fills; an empty table gives no rows. Other columns of ``docs`` are
+    not looked at, whatever their names.
     """
     sized = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")
-    )
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
+        _order(F.col(doc_id), F.col(text)).alias("order"),
+    )
     sized = stored(sized, "mix-sizes")
     source_targets = stored(targets(sized, weights, most_repeats), "mix-targets")
     first = source_targets.agg(F.max("total")).first()
@@ -211,8 +214,8 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
         .select("mix_id", F.round(F.col("mix_taken") / F.col("mix_size")).cast("int").alias("mix_times"))
         .where("mix_times > 0")
     )
-    columns = docs.columns
-    key = docs[parameters.get("doc_id", "doc_id")]
-    joined = docs.join(per_id, key.eqNullSafe(per_id["mix_id"]))
-    times = F.explode(F.array_repeat(F.lit(1), F.col("mix_times"))).alias("mix_time")
-    return joined.select(*[docs[c] for c in columns], times).drop("mix_time")
+    key = F.col(parameters.get("doc_id", "doc_id"))
+    rows = docs.select(key.alias("__id"), whole_row(docs).alias("__row"))
+    times = F.explode(F.array_repeat(F.lit(1), F.col("mix_times"))).alias("__time")
+    met = rows.join(per_id, F.col("__id").eqNullSafe(F.col("mix_id")))
+    return met.select("__row", times).select("__row.*")

@@ -13,6 +13,9 @@ from tallyfield.llm.common import table
 from tallyfield.session import scratch_path
 
 
+SHARD_BYTES = 1024 * 1024
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
     counts = [f"n_{kind}" for kind in pii.KINDS]
@@ -52,7 +55,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    placed = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES)
     return placed.select("doc_id", "shard", "depth", "piece", "n_bytes", "shard_bytes")
 
 
@@ -163,7 +166,7 @@ FROM marked GROUP BY doc_id
 """
 
 
-def op8_sql(limit: int = sharding.SHARD_BYTES) -> str:
+def op8_sql(limit: int = SHARD_BYTES) -> str:
     return f"""
 WITH rows_ AS (
   SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
@@ -184,7 +187,8 @@ FROM depths x JOIN final f ON f.d = x.d AND f.p = x.h >> (60 - x.d)::INT
 
 OP9_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS place
   FROM documents
 ), per_source AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
@@ -221,7 +225,7 @@ WITH sized AS (
   FROM shares s LEFT JOIN per_slots USING (no), plan
 ), placed AS (
   SELECT doc_id, d.size, u.source_size, target, slots, block, blocks,
-         (sum(d.size) OVER (PARTITION BY u.no ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, d.size
+         (sum(d.size) OVER (PARTITION BY u.no ORDER BY place, doc_id, d.size
           ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS lo
   FROM sized d JOIN used u ON d.source IS NOT DISTINCT FROM u.source
 )

@@ -15,7 +15,9 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 CLASHES = (
     "size target taken score label held_out predicted node rep shard depth piece positive x row block "
     "start end kind value vector whole n hi lo sketch a b component kept doc position h1 h2 first last "
-    "item_id n_shared bucket mix_id bad_id gone_id leak_id __hash __prefix shard_bytes"
+    "item_id n_shared bucket mix_id bad_id gone_id leak_id __hash __prefix shard_bytes again_id again text_hash order "
+    "place found base spans key chunk a.b `c` mix_time mix_times mix_size mix_taken __row __id __time __key __part "
+    "__rank __at __held __before __first __bytes __depth __same m r h t one"
 ).split()
 
 
@@ -26,6 +28,7 @@ def documents(spark: SparkSession, rows: list[tuple], clashes: bool = True) -> D
     df = df.withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("long"))
     if clashes:
         df = df.withColumns({c: F.lit("clash") for c in CLASHES})
+        df = df.withColumn("a map", F.create_map(F.lit("k"), F.col("doc_id")))
     return df
 
 

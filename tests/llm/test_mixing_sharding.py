@@ -117,6 +117,39 @@ def test_repeated_rows_fill_pieces(spark):
         assert {r.shard_bytes for r in members} == {total}
 
 
+def test_pieces_hold_rows_that_differ_elsewhere(spark):
+    """Rows of one id and text, but of different sources, share the pieces of their shard."""
+    rows = [(7, "x" * 100, f"s{i % 40}") for i in range(400)] + [(None, "y" * 60, f"t{i}") for i in range(90)]
+    df = sharding.assign(cases.documents(spark, rows).repartition(6), 1_000)
+    held: dict = defaultdict(list)
+    for r in df.select("shard", "piece", "n_bytes", "shard_bytes", "source").collect():
+        held[r.shard, r.piece].append(r)
+    assert sum(map(len, held.values())) == len(rows) and len(held) >= 40 + 6
+    for members in held.values():
+        total = sum(r.n_bytes for r in members)
+        assert total <= 1_000 and {r.shard_bytes for r in members} == {total}
+
+
+def test_registered_shards_split(spark):
+    depths = registered.op8_sharding(spark, "/root/testdata/sf0.01").select("depth").distinct().collect()
+    assert max(r.depth for r in depths) >= 1
+
+
+def test_streams_spread_one_id(spark):
+    """A third of the rows with one id, a third with none: no bucket of a stream holds many."""
+    rows = [(5, f"w{i} " * 3, "a") for i in range(1_000)] + [(None, f"v{i} x", "a") for i in range(1_000)]
+    df = cases.documents(spark, rows + [(i, "one two", "b") for i in range(10, 1_010)])
+    sized = df.select(
+        "doc_id", "source", F.size(F.split("text", " ")).cast("long").alias("size"),
+        mixing._order(F.col("doc_id"), F.col("text")).alias("order"),
+    )
+    placed = mixing.streams(sized, mixing.targets(sized))
+    assert placed.count() == 3_000
+    assert placed.groupBy("source_no", "bucket").count().agg(F.max("count")).first()[0] <= 8
+    mixed = mixing.mix(df).collect()
+    assert len(mixed) == 3_000 and all(0 <= r.taken <= 3 * r["size"] for r in mixed)
+
+
 def test_sharding_of_odd_documents(spark):
     df = cases.odd(spark)
     placed = sharding.assign(df, 10_000)
