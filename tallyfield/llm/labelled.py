@@ -18,7 +18,18 @@ def label_of(labels: DataFrame, label: str, doc_id: str = "doc_id") -> DataFrame
     return known.groupBy(F.col(doc_id).alias("label_id")).agg(F.min(label).cast("int").alias("label"))
 
 
-def first_by_hash(rows: DataFrame, most: int, salt: str) -> DataFrame:
-    """At most ``most`` rows of ``rows``, those with the smallest hash of their id: the documented
-    bound of a training sample."""
-    return rows.orderBy(F.xxhash64(F.lit(salt), "doc_id"), "doc_id").limit(most)
+def first_by_hash(ids: DataFrame, most: int, salt: str) -> DataFrame:
+    """At most ``most`` distinct ids of the column doc_id, those with the smallest hash: the documented
+    bound of a training sample.
+
+    Only ids under a threshold of the hash, some twice as many as wanted, are compared with each other,
+    so no task gets more; the threshold is left out should it leave too few.
+    """
+    place = F.xxhash64(F.lit(salt), "doc_id")
+    known = ids.select("doc_id").where("doc_id is not null")
+    n = known.agg(F.approx_count_distinct("doc_id")).first()[0]
+    if n > 4 * most:
+        low = known.where(place < -(1 << 63) + (1 << 64) * 2 * most // n).distinct()
+        if low.count() >= most:
+            return low.orderBy(place, "doc_id").limit(most)
+    return known.distinct().orderBy(place, "doc_id").limit(most)

@@ -53,7 +53,7 @@ def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache: dict[str, set[int]] = {}
     for batch in batches:
         rows = []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             found: set[int] = set()
             for word in set((text or "").lower().split()):
                 if word not in cache:
@@ -62,7 +62,8 @@ def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     cache[word] = word_features(word)
                 found |= cache[word]
             rows.append(sorted(found))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["positive", "x"])
+        columns = [batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, ["positive", "doc_id", "x"])
 
 
 @dataclass
@@ -208,8 +209,10 @@ def toxicity_scores(
     met = plain.join(F.broadcast(sample.distinct()), "doc_id")
     # The bound holds for rows: of several rows of an id the one with the smallest hash of its text.
     row = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r")
-    texts = met.groupBy("positive", "doc_id").agg(row).select("positive", "r.text")
-    rows = texts.mapInArrow(_collected, "positive boolean, x array<int>").toArrow()
+    texts = met.groupBy("positive", "doc_id").agg(row).select("positive", "doc_id", "r.text")
+    # In one order, however the rows were dealt: the same sample gives the same model.
+    rows = texts.mapInArrow(_collected, "positive boolean, doc_id long, x array<int>").toArrow()
+    rows = rows.sort_by([("positive", "ascending"), ("doc_id", "ascending")])
     is_positive = rows.column("positive").to_pylist()
     sets = [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in rows.column("x")]
     model = fit(

@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tallyfield.llm import ann, pii, quality, records, registered, toxicity
 from tallyfield.llm.common import table
+from tallyfield.llm.labelled import first_by_hash
 from tallyfield.llm.tokens import Encoder
 from tests.llm import cases
 
@@ -50,6 +51,27 @@ def test_held_out_labels_are_not_used(spark, run, label, folds, held):
     assert sorted(run(docs, labels).collect()) == sorted(run(docs, changed).collect())
 
 
+def test_samples_are_of_distinct_ids(spark):
+    """One id in most rows takes one place of a sample, and few rows are compared for it."""
+    ids = spark.range(3_000).selectExpr("if(id % 3 = 0, 7, id) AS doc_id").union(spark.sql("SELECT NULL"))
+    found = [r.doc_id for r in first_by_hash(ids, 100, "s").collect()]
+    assert len(set(found)) == len(found) == 100
+    all_ = [r.doc_id for r in first_by_hash(ids, 5_000, "s").collect()]
+    assert len(set(all_)) == len(all_) == 2_001 and set(found) < set(all_)
+    place = F.xxhash64(F.lit("s"), "doc_id")
+    first = ids.where("doc_id is not null").distinct().orderBy(place).limit(100)
+    assert sorted(found) == sorted(r.doc_id for r in first.collect())
+
+
+def test_one_id_in_many_rows_does_not_fill_the_sample(spark):
+    docs = [(5, f"text {i}") for i in range(300)] + [(i, f"good plain words {i % 9}") for i in range(10, 200)]
+    labels = [(i, i % 2, i % 2) for i in range(10, 200)]
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = toxicity.toxicity_scores(cases.documents(spark, docs), frame, most_unlabelled=100).collect()
+    again = toxicity.toxicity_scores(cases.documents(spark, docs).repartition(5), frame, most_unlabelled=100).collect()
+    assert len(rows) == len(docs) and sorted(rows) == sorted(again)
+
+
 @pytest.mark.parametrize("run", [quality.quality_scores, toxicity.toxicity_scores])
 def test_scores_of_odd_documents(spark, run):
     labels = spark.createDataFrame(
