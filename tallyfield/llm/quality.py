@@ -211,7 +211,10 @@ def quality_scores(
     featured = stored(plain.mapInArrow(_featured, "doc_id long, x array<double>"), "quality-features")
     known = label_of(labels, label)
     train = featured.where(fold(F.col("doc_id"), folds) != held).join(known, F.col("doc_id") == F.col("label_id"))
-    rows = first_by_hash(train.select("doc_id", "x", "label"), most_rows, "quality").toArrow()
+    sample = first_by_hash(train, most_rows, "quality").withColumnRenamed("doc_id", "sample_id")
+    # The bound holds for rows: one row per sampled id, and all in one order.
+    rows = train.join(F.broadcast(sample), F.col("doc_id") == F.col("sample_id")).groupBy("doc_id")
+    rows = rows.agg(F.min(F.struct("x", "label")).alias("r")).select("doc_id", "r.*").toArrow().sort_by("doc_id")
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     model = fit(x, np.array(rows.column("label").to_pylist(), float))
     scored = featured.mapInArrow(functools.partial(_scored, model), "doc_id long, score double")
