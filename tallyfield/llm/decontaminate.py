@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import n_words
+from tallyfield.llm.common import n_words, stored
 from tallyfield.llm.shingles import multipliers, shingle_hashes, word_hashes, words_of
 
 HASHES = 48
@@ -106,7 +106,7 @@ def _search(items, width: int, share: tuple[int, int], batches: Iterator[pa.Reco
                 for column, value in zip(columns, (doc_id, block.ids[number], held, len(block.sets[number])), strict=True):
                     column.append(value)
         arrays = [pa.array(c, pa.int64()) for c in columns]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "n_shared", "n_shingles"])
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "n_shared", "n_shingles"])
 
 
 def contained_items(
@@ -132,17 +132,22 @@ def contained_items(
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     short = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     short = short.where(n_words(F.col("text")) > 0)
-    words = short.agg(F.sum(n_words(F.col("text")))).first()[0] or 0
+    # Equal texts are one item until the end, so that repeated items do not fill a block.
+    short = short.withColumn("text_hash", F.xxhash64("text"))
+    texts = stored(short.select("text", "text_hash").distinct(), "item-texts")
+    words = texts.agg(F.sum(n_words(F.col("text")))).first()[0] or 0
     blocks = max(1, math.ceil(words / block_words))
-    schema = "doc_id long, item_id long, n_shared long, n_shingles long"
+    schema = "doc_id long, text_hash long, n_shared long, n_shingles long"
     found = []
     for number in range(blocks):
         # One block at a time: its words are bounded, so is what the driver and the tasks hold.
-        block = short.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
-        rows = [(r["item_id"], r["text"].encode()) for r in block.collect()]
+        block = texts.where(F.pmod("text_hash", F.lit(blocks)) == number)
+        rows = [(r["text_hash"], r["text"].encode()) for r in block.collect()]
         sent = spark.sparkContext.broadcast(rows)
         found.append(plain.mapInArrow(functools.partial(_search, sent, width, share), schema))
-    return functools.reduce(DataFrame.unionByName, found)
+    every = functools.reduce(DataFrame.unionByName, found)
+    named = every.join(short.select("item_id", "text_hash"), "text_hash")
+    return named.select("doc_id", "item_id", "n_shared", "n_shingles")
 
 
 def without_items(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
