@@ -178,8 +178,10 @@ def dedup_lines(
         batch = batch + (F.col("doc") >= int(cut)).cast("int")
     lines = stored(lines.withColumn("batch", batch), "lines")
     runs = LineRuns(spark)
-    drops = [runs.add(lines.where(F.col("batch") == i).drop("batch")) for i in range(len(set(cuts)) + 1)]
-    runs.close()
+    try:
+        drops = [runs.add(lines.where(F.col("batch") == i).drop("batch")) for i in range(len(set(cuts)) + 1)]
+    finally:
+        runs.close()
     per_text = (
         functools.reduce(DataFrame.unionByName, drops)
         .groupBy("doc", "whole")

@@ -27,7 +27,6 @@ from __future__ import annotations
 import functools
 import itertools
 import math
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import stored
+from tallyfield.llm.common import quoted, stored, whole_row
 from tallyfield.llm.components import components
 from tallyfield.llm.shingles import common, multipliers, shingle_set
 
@@ -571,6 +570,8 @@ def without_near_duplicates(
     several = kept.join(again, kept[doc_id] == again["again_id"], "left_semi")
     if again.limit(1).count() == 0:
         return once
-    row = F.struct(F.xxhash64(text).alias("h"), F.struct(*docs.columns).alias("r"))
-    chosen = several.groupBy(F.col(doc_id).alias("again_id")).agg(F.min(row).alias("m"))
-    return once.unionByName(chosen.select("m.r.*"))
+    # Told apart by their JSON, as columns without an order cannot be compared.
+    whole, name = whole_row(docs), quoted(doc_id)
+    place = F.struct(F.xxhash64(quoted(text)), F.xxhash64(F.to_json(whole)))
+    chosen = several.groupBy(F.col(name).alias("again_id")).agg(F.min_by(whole, place).alias("m"))
+    return once.unionByName(chosen.select("m.*"))
