@@ -38,7 +38,9 @@ FAN = 16
 CELL_PAIRS = 2_000_000
 CELL_ENTRIES = 8_000_000
 _AT_ONCE = 2_000_000
-_COUNTED = 4_000_000
+_COUNTED = 2_000_000
+# Pieces of text whose ids a worker holds, for each tokenizer.
+_PIECES = 250_000
 _EXPANDED = 64
 
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
@@ -63,7 +65,7 @@ class PieceModel:
             bytes([int(p[3:-1], 16)]) if byte else p.replace("▁", " ").encode()
             for p, byte in zip(pieces, is_byte, strict=True)
         ]
-        self.pieces = PieceIds(self._whole)
+        self.pieces = PieceIds(lambda pieces: dict(zip(some := list(pieces), self._whole(some), strict=True)), _PIECES)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(ids, self.dtype).tobytes() for ids in self.model.encode(texts, num_threads=1)]
@@ -88,7 +90,7 @@ class Pairing:
     """Both tokenizers, the bytes of their tokens, and how ids are written."""
 
     def __init__(self, first: str, second: str):
-        self.first, self.second = encoder(first, special_as_text=True), PieceModel(second)
+        self.first, self.second = encoder(first, True, most_pieces=_PIECES), PieceModel(second)
         self.a, self.b = (_Vocabulary(x) for x in (_byte_level(self.first), self.second.bytes))
         # Bits of a second id, and of an id pair.
         self.shift = len(self.b.size).bit_length()
@@ -489,12 +491,13 @@ def _plan(entries: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.nda
     return range_of, np.maximum(1, -(-np.array(sums) // CELL_ENTRIES))
 
 
-_CELL = "range long, cell long, keys binary, sizes binary, pairs binary, times binary"
+_CELL = "range long, cell long, bundle long, keys binary, sizes binary, pairs binary, times binary"
 
 
 def _cells(shift: int, range_of: np.ndarray, cells: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents' pairs by range of first ids, many documents a row."""
-    turn = TaskContext.get().partitionId()
+    """Documents' pairs by range of first ids, a bundle of many documents a row."""
+    part = turn = TaskContext.get().partitionId()
+    bundle = part << 32
 
     def out(docs: list[tuple]) -> pa.RecordBatch:
         sizes = [len(pairs) for _, pairs, _ in docs]
@@ -512,7 +515,7 @@ def _cells(shift: int, range_of: np.ndarray, cells: np.ndarray, batches: Iterato
             steps = np.diff(pairs[low:high], prepend=0)
             steps[first] = pairs[low:high][first]
             rows.append((
-                n, (turn + n) % int(cells[n]), packed(keys[here[first]]), packed(np.diff(np.r_[first, high - low])),
+                n, (turn + n) % int(cells[n]), bundle, packed(keys[here[first]]), packed(np.diff(np.r_[first, high - low])),
                 packed(steps), packed(times[low:high]),
             ))
         return _batch(_CELL, rows)
@@ -524,28 +527,41 @@ def _cells(shift: int, range_of: np.ndarray, cells: np.ndarray, batches: Iterato
             held += len(docs[-1][1])
             if held >= _COUNTED:
                 yield out(docs)
-                docs, held, turn = [], 0, turn + 1
+                docs, held, turn, bundle = [], 0, turn + 1, bundle + 1
     if held:
         yield out(docs)
 
 
+_SUMS = "bundle long, keys binary, n_best binary, count_sum binary"
+
+
 def _met(shift: int, documents: pa.Table, counts: pa.Table) -> pa.Table:
-    """Documents' pairs of one cell with the counts of its range: partial sums per document."""
+    """Documents' pairs of one cell with the counts of its range: partial sums, still a bundle a row."""
     pairs, n = (counts.column(c).to_numpy() for c in ("pair", "n"))
     order = np.argsort(pairs)
     pairs, n = pairs[order], n[order]
     first = np.flatnonzero(np.r_[True, (pairs >> shift)[1:] != (pairs >> shift)[:-1]])
     highest = np.repeat(np.maximum.reduceat(n, first), np.diff(np.r_[first, len(pairs)])) == n
-    parts = []
-    for r in documents.select(["keys", "sizes", "pairs", "times"]).to_batches(max_chunksize=16):
-        for keys, sizes, steps, times in zip(*(c.to_pylist() for c in r.columns), strict=True):
+    rows = []
+    for r in documents.select(["bundle", "keys", "sizes", "pairs", "times"]).to_batches(max_chunksize=16):
+        for bundle, keys, sizes, steps, times in zip(*(c.to_pylist() for c in r.columns), strict=True):
             sizes, steps, times = unpacked(sizes), unpacked(steps), unpacked(times)
             starts = sizes.cumsum() - sizes
             sums = steps.cumsum()
             found = np.searchsorted(pairs, sums - np.repeat(sums[starts] - steps[starts], sizes))
             best, total = (np.add.reduceat(x, starts) for x in (times * highest[found], times * n[found]))
-            parts.append(pa.table([unpacked(keys), best, total], names=["key", "n_best", "count_sum"]))
-    return pa.concat_tables(parts)
+            rows.append((bundle, keys, packed(best), packed(total)))
+    return pa.Table.from_batches([_batch(_SUMS, rows)])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """The sums of one bundle's documents over all its cells."""
+    keys, best, total = (np.concatenate([unpacked(x) for x in table.column(c).to_pylist()]) for c in ("keys", "n_best", "count_sum"))
+    order = np.argsort(keys, kind="stable")
+    keys, best, total = keys[order], best[order], total[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sums = [np.add.reduceat(x, first) for x in (best, total)]
+    return pa.table([keys[first], *sums], names=["key", "n_best", "count_sum"])
 
 
 def align(
@@ -597,16 +613,14 @@ def align(
     dealt = held.select("key", "pairs", "times").mapInArrow(functools.partial(_cells, shift, range_of, cells), _CELL)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3, names=["key", "n_best", "count_sum"])
-        return _met(shift, left, right)
+        return _met(shift, left, right) if left.num_rows else pa.Table.from_batches([_batch(_SUMS, [])])
 
     sums = (
         dealt.groupBy("range", "cell")
         .cogroup(ranged.groupBy("range", "cell"))
-        .applyInArrow(meet, "key long, n_best long, count_sum long")
-        .groupBy("key")
-        .agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+        .applyInArrow(meet, _SUMS)
+        .groupBy("bundle")
+        .applyInArrow(_added, "key long, n_best long, count_sum long")
     )
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     joined = rows.join(sums, "key", "left")
