@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 
@@ -25,8 +25,8 @@ ODD_BLANKS = re.compile(_ODD_BLANK)
 _ODD = re.compile(rf"{_ODD_BLANK}|{_ODD_FEED}")
 _JOINED = 20_000
 # Pieces held in a worker: at most so many, of so many characters and bytes of ids together.
-MOST_PIECES = 400_000
-MOST_BYTES = 24_000_000
+MOST_PIECES = 700_000
+MOST_BYTES = 32_000_000
 
 
 def byte_signs() -> str:
@@ -41,8 +41,6 @@ _SIGNS = dict(enumerate(byte_signs()))
 
 
 def _spelt(text: str) -> str:
-    if text.isascii() and text.isalpha():
-        return text
     return text.encode().decode("latin-1").translate(_SIGNS)
 
 
@@ -51,10 +49,11 @@ class PieceIds:
 
     def __init__(
         self,
-        encode: Callable[[list[str]], Iterable[bytes]],
+        encode: Callable[[set[str]], dict[str, bytes]],
         most_pieces: int = MOST_PIECES,
         most_bytes: int = MOST_BYTES,
     ):
+        """``encode`` gives the ids of pieces, and of others too if it likes."""
         self.encode, self.most_pieces, self.most_bytes = encode, most_pieces, most_bytes
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -62,19 +61,16 @@ class PieceIds:
 
     def of(self, groups: list[list[str]]) -> list[bytes]:
         """For each group of pieces its ids, one piece after another."""
-        wanted = set().union(*groups)
         if len(self.known) > self.most_pieces // 2 or self.held > self.most_bytes // 2:
             # Two generations: what is met again moves to the newer, the older is let go.
             self.before, self.known, self.held = self.known, {}, 0
-        new = wanted.difference(self.known)
+        new = set().union(*groups).difference(self.known)
         if self.before and new:
-            old = self.before
-            met = {p: old[p] for p in new if p in old}
+            met = {p: self.before[p] for p in new.intersection(self.before)}
             self._keep(met)
             new.difference_update(met)
         if new:
-            fresh = list(new)
-            self._keep(dict(zip(fresh, self.encode(fresh), strict=True)))
+            self._keep(self.encode(new))
         of = self.known.__getitem__
         return [b"".join(map(of, group)) for group in groups]
 
@@ -127,13 +123,14 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
-    def _of_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that the cutting rule leaves whole, given in the tokenizer's own spelling: they
-        go to the model past the cutting, one line of words for all, with a line feed behind each."""
+    def _of_words(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of words that the cutting rule leaves whole, each behind ``before``: in the tokenizer's own
+        spelling they go to the model past the cutting, one line of words for all, a line feed behind each.
+        """
         found = []
         for start in range(0, len(words), _JOINED):
-            some = words[start : start + _JOINED]
-            line = f" {self.feed_sign} ".join(some) + f" {self.feed_sign}"
+            some = [w if w.isascii() else _spelt(w) for w in words[start : start + _JOINED]]
+            line = f"{before}{f' {self.feed_sign} {before}'.join(some)} {self.feed_sign}"
             ids = np.array(self.by_words.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.flatnonzero(ids == self.feed)
             if len(ends) != len(some) or ends[-1] != len(ids) - 1:
@@ -144,21 +141,25 @@ class Encoder:
                 at = end + width
         return found
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+    def _encode_pieces(self, pieces: set[str]) -> dict[str, bytes]:
         # A mark behind a letter at the end of a piece is a token of its own.
-        bare = [p[:-1] if p.endswith((",", ".")) and p[-2:-1].isalpha() else p for p in pieces]
-        ids = {b: self.pieces.known[b] for b in bare if b in self.pieces.known}
-        new = list(set(bare).difference(ids))
+        marked = [p for p in pieces if p.endswith((",", ".")) and p[-2:-1].isalpha()]
+        bare = pieces.difference(marked)
+        bare.update([p[:-1] for p in marked])
+        known = self.pieces.known
+        ids = {p: known[p] for p in bare.intersection(known)} if known else {}
+        bare.difference_update(ids)
         # Words of letters alone, behind a blank or at the beginning of a line, are never cut.
-        words = [b for b in new if b.isalpha()]
-        lines = [b for b in new if b[:1] == "\n" and b[1:].isalpha()]
-        others = list(set(new).difference(words, lines))
-        found = self._of_words([self.blank_sign + _spelt(b) for b in words] + [_spelt(b[1:]) for b in lines])
-        ids |= zip(words, found[: len(words)], strict=True)
+        words = [p for p in bare if p.isalpha()]
+        ids.update(zip(words, self._of_words(words, self.blank_sign), strict=True))
+        bare.difference_update(words)
+        lines = [p[1:] for p in bare if p[:1] == "\n" and p[1:].isalpha()]
         feed = np.array([self.feed], self.dtype).tobytes()
-        ids |= {b: feed + x for b, x in zip(lines, found[len(words) :], strict=True)}
-        ids |= zip(others, self._whole([b if b.startswith("\n") else " " + b for b in others]), strict=True)
-        return [ids[b] if len(b) == len(p) else ids[b] + self.marks[p[-1]] for b, p in zip(bare, pieces, strict=True)]
+        ids.update(("\n" + w, feed + x) for w, x in zip(lines, self._of_words(lines, ""), strict=True))
+        others = [p for p in bare if p not in ids]
+        ids.update(zip(others, self._whole([p if p.startswith("\n") else " " + p for p in others]), strict=True))
+        ids.update([(p, ids[p[:-1]] + self.marks[p[-1]]) for p in marked])
+        return ids
 
     def encode(self, texts: list[str | None], blank_before: bool = False) -> list[np.ndarray]:
         """The ids of each text (NULL: empty), with a blank put before it if so wished."""
@@ -195,9 +196,9 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, special_as_text: bool = False) -> Encoder:
+def encoder(path: str, special_as_text: bool = False, **bounds: int) -> Encoder:
     """The worker's own encoder for a file: it outlives a task, as workers do."""
-    key = (path, special_as_text)
+    key = (path, special_as_text, *sorted(bounds.items()))
     if key not in _encoders:
-        _encoders[key] = Encoder(path, special_as_text)
+        _encoders[key] = Encoder(path, special_as_text, **bounds)
     return _encoders[key]
