@@ -4,7 +4,9 @@ Fixed rules find the seeds: e-mail addresses, IP addresses, card numbers, phone
 beside a seed are lexical patterns (the word before, the word after, the two words before). Patterns and
 instances form a graph: a pattern is as good as the share of its distinct instances that are known to be
 of a kind, an instance as sure as the good patterns around it make it. After some rounds of scoring, the
-surest patterns name further identifiers among the other words with digits or an @ that stand in them.
+surest patterns name further identifiers among what else stands in them: words with a digit or another
+sign that plain words lack, and runs of groups of digits. How many digits those have, or how long they or
+their contexts are, does not matter; only the graph decides.
 
 All steps are DataFrame functions. Character positions come from splitting a text at the matches: gaps
 and matches alternate, and a running sum of their lengths per text gives every start. Positions are code
@@ -18,7 +20,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import stored
+from tallyfield.llm.common import BLANKS, stored
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive forms and look-behinds leave the leftmost matches as they are and make them linear: a run
@@ -29,12 +31,13 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    # Words that could be identifiers: the instances that patterns are tried on.
-    "word": r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+",
+    # What could be an identifier, the instances that patterns are tried on: a word with a digit, an @, a
+    # bracket, a low line or an inner dot, and groups of digits with single blanks between.
+    "word": r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@\[\](){}_.]*+(?:[0-9@\[\](){}_]|\.(?=[\p{L}0-9]))[^\x20\x09-\x0D]*+",
+    "run": r"(?<![^\x20\x09-\x0D])[+(]*+[0-9][0-9().-]*+(?:\x20[(]?+[0-9][0-9().-]*+)++(?![^\x20\x09-\x0D.,;:!?])",
 }
+OTHERS = ("word", "run")
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-CONTEXT_CHARS = 64
-LEAST_DIGITS = 5
 ROUNDS = 3
 LEAST_SEEDS = 3
 GOOD_PATTERN = 0.5
@@ -42,18 +45,32 @@ SURE = 0.8
 _TEXT = ["doc_id", "whole"]
 
 
+def _last_words(text: Column) -> tuple[Column, Column]:
+    """The last word of a text and the one before it, in time linear in the text."""
+    flat = F.rtrim(F.translate(text, BLANKS, " " * len(BLANKS)))
+    last = F.substring_index(flat, " ", -1)
+    rest = F.rtrim(F.left(flat, F.length(flat) - F.length(last)))
+    return last, F.substring_index(rest, " ", -1)
+
+
 def _entries(kind: str) -> Column:
-    """Matches of one kind, each with its place among them, the length of the gap before it, and the
-    ends of the gaps on both sides. Columns ``m_<kind>`` and ``g_<kind>`` hold matches and gaps."""
+    """Matches of one kind, each with its place among them, the length of the gap before it, and the words
+    beside it. Columns ``m_<kind>`` and ``g_<kind>`` hold matches and the gaps around them. Where little
+    stands between matches, the two next matches count as words of the context."""
     matches, gaps = F.col(f"m_{kind}"), F.col(f"g_{kind}")
-    zipped = F.arrays_zip(matches.alias("m"), gaps.alias("g"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("n"))
-    return F.transform(
-        F.filter(zipped, lambda x: x["m"].isNotNull()),
-        lambda x, i: F.struct(
-            F.lit(kind).alias("kind"), i.alias("i"), x["m"].alias("value"), F.length(x["g"]).alias("gap"),
-            F.right(x["g"], F.lit(CONTEXT_CHARS)).alias("left"), F.left(x["n"], F.lit(CONTEXT_CHARS)).alias("right"),
-        ),
-    )
+    at = lambda array, i: F.get(array, i.cast("int"))
+
+    def entry(x: Column, i: Column) -> Column:
+        before = F.concat_ws("", at(gaps, i - 2), at(matches, i - 2), at(gaps, i - 1), at(matches, i - 1), at(gaps, i))
+        after = F.concat_ws("", at(gaps, i + 1), at(matches, i + 1), at(gaps, i + 2))
+        last, second = _last_words(before)
+        first = F.substring_index(F.ltrim(F.translate(after, BLANKS, " " * len(BLANKS))), " ", 1)
+        return F.struct(
+            F.lit(kind).alias("kind"), i.alias("i"), x.alias("value"), F.length(at(gaps, i)).alias("gap"),
+            last.alias("before"), second.alias("second"), first.alias("after"),
+        )
+
+    return F.transform(matches, entry)
 
 
 def _matched(plain: DataFrame) -> DataFrame:
@@ -102,20 +119,23 @@ def _placed(matched: DataFrame) -> DataFrame:
     end = F.sum(F.col("gap") + F.length("value")).over(so_far)
     placed = each.withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
     placed = placed.withColumn("seed", _passes(F.col("kind"), F.col("value")))
-    return placed.where("seed or kind = 'word'").drop("gap", "i")
+    return placed.where(F.col("seed") | F.col("kind").isin(*OTHERS)).drop("gap", "i")
 
 
 def _contexts() -> Column:
-    """Lexical patterns around a match."""
-    before = F.lower(F.regexp_extract("left", r"(?:^|\s)(\S+)\s*$", 1))
-    two = F.lower(F.regexp_extract("left", r"(?:^|\s)(\S+\s+\S+)\s*$", 1))
-    after = F.lower(F.regexp_extract("right", r"^\s*(\S+)", 1))
-    named = [F.when(c != "", F.concat(F.lit(k), F.regexp_replace(c, r"\s+", " "))) for k, c in (("L ", before), ("B ", two), ("R ", after))]
-    return F.array_compact(F.array(*named))
+    """Lexical patterns around a match: the word before, the two words before, the word after."""
+    before, second, after = (F.lower(c) for c in ("before", "second", "after"))
+    return F.array_compact(
+        F.array(
+            F.when(before != "", F.concat(F.lit("L "), before)),
+            F.when(second != "", F.concat(F.lit("B "), second, F.lit(" "), before)),
+            F.when(after != "", F.concat(F.lit("R "), after)),
+        )
+    )
 
 
 def _apart(placed: DataFrame) -> DataFrame:
-    """Other words that look like identifiers and touch no seed."""
+    """Words and runs that could be identifiers and touch no seed."""
     here = Window.partitionBy(*_TEXT).orderBy("start", "end")
     ended = F.max(F.when(F.col("seed"), F.col("end"))).over(here.rowsBetween(Window.unboundedPreceding, 0))
     coming = F.min(F.when(F.col("seed"), F.col("start"))).over(here.rowsBetween(0, Window.unboundedFollowing))
@@ -123,9 +143,15 @@ def _apart(placed: DataFrame) -> DataFrame:
     # A sentence's punctuation at the end of a word is not part of the identifier.
     bare = F.regexp_replace("value", r"[.,;:!?]+$", "")
     alone = (F.coalesce("ended", F.lit(0)) <= F.col("start")) & (F.col("end") <= F.coalesce("coming", "end"))
-    like = F.contains("value", F.lit("@")) | (F.length(_digits(F.col("value"))) >= LEAST_DIGITS)
-    words = marked.where((F.col("kind") == "word") & alone & like)
-    return words.withColumn("value", bare).withColumn("end", F.col("start") + F.length("value"))
+    words = marked.where(F.col("kind").isin(*OTHERS) & alone).withColumn("value", bare)
+    return words.where("value <> ''").withColumn("end", F.col("start") + F.length("value"))
+
+
+def _outermost(found: DataFrame) -> DataFrame:
+    """Without the spans inside another one: a run's single groups of digits."""
+    before = Window.partitionBy(*_TEXT).orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("end").over(before), F.lit(0))
+    return found.withColumn("reached", reached).where("end > reached").drop("reached")
 
 
 def _learnt(seeds: DataFrame, words: DataFrame) -> DataFrame:
@@ -169,8 +195,9 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     base_spans (the seeds) and spans (seeds and discoveries) as text, and n_found (discoveries).
 
     Spans are ordered by kind, then start. A NULL or empty text has none; repeated rows have equal
-    results; rows that share an id, or have none, each have the results of their own text; an empty table
-    gives no rows. Other columns of ``docs`` are not looked at.
+    results; rows that share an id, or have none, each have the results of their own text; a very long text
+    is matched whole, in time linear in its length; an empty table gives no rows. Other columns of ``docs``
+    are not looked at.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     matched = stored(_matched(plain), "pii-matches")
@@ -181,9 +208,8 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         lambda c, k: c.when(F.col("kind") == KINDS[k], k), range(1, len(KINDS)), F.when(F.col("kind") == KINDS[0], 0)
     )
     columns = [*_TEXT, number.alias("k"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")]
-    spans = seeds.select(*columns, F.lit(True).alias("base")).unionByName(
-        words.drop("kind").join(learnt, "value").select(*columns, F.lit(False).alias("base"))
-    )
+    discovered = _outermost(words.drop("kind").join(learnt, "value").select(*columns).distinct())
+    spans = seeds.select(*columns, F.lit(True).alias("base")).unionByName(discovered.withColumn("base", F.lit(False)))
     span = F.struct("k", "start", "end")
     counts = [F.count_if(F.col("base") & (F.col("k") == i)).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     per_text = spans.groupBy(*_TEXT).agg(

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
 
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,3 +148,62 @@ def plain_spans(text: str | None) -> list[str]:
 
 def in_fold(doc_id: int, folds: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % folds
+
+
+def plain_personal_data(rows: list[tuple]) -> dict:
+    """All spans per document, base and added, by one pass over a graph held in memory."""
+    from tallyfield.llm import pii
+
+    patterns = {kind: regex.compile(p) for kind, p in pii.PATTERNS.items() if kind in pii.OTHERS}
+    places, edges, known = [], defaultdict(set), set()
+    for doc, text in rows:
+        seeds = [s.split(":") for s in plain_spans(text)]
+        ends = [(int(a), int(b)) for _, a, b in seeds]
+        known.update((text[int(a) : int(b)], k) for k, a, b in seeds)
+        others = []
+        for pattern in patterns.values():
+            for m in pattern.finditer(text):
+                if not any(a < m.end() and m.start() < b for a, b in ends):
+                    value = re.sub("[.,;:!?]+$", "", m.group())
+                    others.append((m.start(), m.start() + len(value), m.end()))
+        whole = [(int(a), int(b), int(b)) for _, a, b in seeds] + others
+        for start, end, last in whole:
+            before, after = text[:start].lower().split(), text[last:].lower().split()
+            value = text[start:end]
+            edges[value].update([f"L {before[-1]}"] if before else [], [f"B {' '.join(before[-2:])}"] if len(before) > 1 else [])
+            edges[value].update([f"R {after[0]}"] if after else [])
+        places.append((doc, seeds, others, text))
+    instances = defaultdict(int)
+    for found in edges.values():
+        for pattern in found:
+            instances[pattern] += 1
+    scores, seeded = {v: 1.0 for v in known}, {value for value, _ in known}
+    for _ in range(pii.ROUNDS):
+        weight, sure = defaultdict(float), defaultdict(int)
+        for (value, kind), score in scores.items():
+            for pattern in edges[value]:
+                weight[pattern, kind] += score
+                sure[pattern, kind] += score >= pii.SURE
+        good = {k: min(w / instances[k[0]], 0.99) for k, w in weight.items() if sure[k] >= pii.LEAST_SEEDS}
+        doubt = defaultdict(float)
+        for value, found in edges.items():
+            if value not in seeded:
+                for (pattern, kind), share in good.items():
+                    if pattern in found and share >= pii.GOOD_PATTERN:
+                        doubt[value, kind] += math.log(1 - share)
+        scores = {v: 1.0 for v in known} | {k: 1 - math.exp(d) for k, d in doubt.items()}
+    best: dict = {}
+    for (value, kind), score in scores.items():
+        if value not in seeded and score >= pii.SURE:
+            best[value] = max(best.get(value, (0, "")), (score, kind))
+    result = {}
+    for doc, seeds, others, text in places:
+        found = sorted({(a, -b, best[text[a:b]][1]) for a, b, _ in others if text[a:b] in best})
+        kept, reached = [], 0
+        for a, b, kind in found:
+            if -b > reached:
+                kept.append((kind, a, -b))
+            reached = max(reached, -b)
+        every = [(pii.KINDS.index(k), int(a), int(b)) for k, a, b in [*seeds, *kept]]
+        result[doc] = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(every))
+    return result

@@ -276,13 +276,55 @@ def test_base_spans_as_by_plain_matching(spark):
         assert set(expected[r.doc_id]) <= set(filter(None, r.spans.split(",")))
 
 
+UNSEEN = [
+    "reach me at phone 415 555 2222 or later",  # three groups of digits with blanks
+    "reach me at phone (030) 901 820, or later",
+    "reach me at phone 4711 or later",  # a short number
+    "reach me at phone 4155552222 or later",
+    "please write to client77[at]mail.example.com about it",
+    "please write to anna(at)site.org about it",
+    "please write to " + "x" * 300 + "_at_home about it",
+]
+FOUND = ["phone:18:30", "phone:18:31", "phone:18:22", "phone:18:28", "email:16:44", "email:16:32", "email:16:324"]
+
+
 def test_contexts_find_unseen_identifiers(spark):
     rows = [(i, f"please write to client{i}@mail.example.com about it") for i in range(12)]
-    rows += [(100, "please write to client77[at]mail.example.com12345 about it")]
-    rows += [(200 + i, f"the number {10_000_000 + i} about it was long") for i in range(12)]
+    rows += [(50 + i, f"reach me at phone +1 415 555 {2000 + i} or later") for i in range(12)]
+    rows += [(100 + i, text) for i, text in enumerate(UNSEEN)]
+    rows += [(200 + i, f"the number {10_000_000 + i} of it was long, as is {i}") for i in range(12)]
     found = {r.doc_id: r for r in pii.personal_data(cases.documents(spark, rows)).collect()}
-    assert found[100].spans == "email:16:49" and found[100].n_found == 1
+    assert [found[100 + i].spans for i in range(len(UNSEEN))] == FOUND
+    assert all(found[100 + i].n_found == 1 for i in range(len(UNSEEN)))
     assert all(found[200 + i].spans == "" for i in range(12))
+    assert all(found[i].n_email == 1 and found[i].spans == found[i].base_spans for i in range(12))
+
+
+def test_added_spans_as_by_a_plain_graph(spark):
+    rng = random.Random(12)
+    slots = {"email": ["write to {}", "mail {} now", "from <b> {} today"], "phone": ["call {} soon", "phone: {}", "tel\n{} or"]}
+    words = ["the", "a", "of", "call", "to", "mail", "12", "7.5", "x_1", "write"]
+    rows = []
+    for i in range(400):
+        kind = rng.choice(list(slots))
+        known = rng.random() < 0.6
+        number = rng.randrange(60)
+        value = {
+            "email": f"c{number}@m.example.com" if known else rng.choice([f"c{number}[at]m.com", f"{number}"]),
+            "phone": f"+1 415 555 {2000 + number}" if known else rng.choice([f"415 555 {number}", f"{number}00"]),
+        }[kind]
+        text = " ".join([*rng.choices(words, k=3), rng.choice(slots[kind]).format(value), *rng.choices(words, k=2)])
+        rows.append((i, text))
+    found = pii.personal_data(cases.documents(spark, rows)).collect()
+    expected = cases.plain_personal_data(rows)
+    assert {r.doc_id: r.spans for r in found} == expected
+    assert sum(r.n_found for r in found) > 20
+
+
+def test_no_span_is_added_without_contexts(spark):
+    """On the given texts identifiers stand among random words: nothing is added, so nothing wrongly."""
+    found = pii.personal_data(table(spark, SF, "documents").select("doc_id", "text"))
+    assert found.agg(F.sum("n_found")).first()[0] <= 2
 
 
 def test_personal_data_of_odd_documents(spark):
