@@ -31,7 +31,7 @@ QUERY_ROWS = 4_096
 SUMMARY_ROWS = 4_096
 CENTRES = 1_024
 LABEL_BUCKETS = 64
-LEAF_ROWS = 64
+LEAF_ROWS = 256
 BRANCHES = 32
 EXACT = float(1 << 53)
 
