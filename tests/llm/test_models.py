@@ -134,22 +134,67 @@ def test_neighbours_against_brute_force(spark):
     assert hits / total >= 0.95
 
 
+def brute_rows(rows: list, k: int = 20) -> list[tuple]:
+    """(query id, rank, id, score) of every row that is a query, among all other rows."""
+    found = []
+    for at, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            scored = [(-float((np.array(v) * np.array(w)).sum()), j) for n, (j, w) in enumerate(rows) if n != at]
+            found += [(i, rank, j, -s) for rank, (s, j) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(found)
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [float(i % 7), 1.0, 0.5]) for i in range(1, 200)]
-    rows += [(200, None), (220, [0.0, 0.0, 0.0]), (240, [1.0, None, 1.0]), (260, [nan, 1.0, 1.0]), (280, [inf, 1.0, 1.0])]
-    rows += [(300, [1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (20, [6.0, 1.0, 0.5]), (20, [6.0, 1.0, 0.5])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
-    good = {i: v for i, v in rows if i is not None and i < 200}
-    found: dict = {}
-    for r in sorted(ann.nearest(df, F.col("vec_id") % 20 == 0, block_rows=50, query_rows=3).collect()):
-        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    # Of rows with one id the smallest vector counts.
-    good[20] = min(v for i, v in rows if i == 20)
-    assert found == {q: brute(good, q, 20) for q in good if q % 20 == 0}
+    rows += [(20, [6.0, 1.0, 0.5]), (20, [6.0, 1.0, 0.5]), (40, [0.0, 0.0, 1.0])]  # repeated rows and ids
+    odd = [(200, None), (220, [0.0, 0.0, 0.0]), (240, [1.0, None, 1.0]), (260, [nan, 1.0, 1.0]), (280, [inf, 1.0, 1.0])]
+    odd += [(300, [1.0, 1.0]), (None, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    df = df.withColumns({c: F.lit("clash") for c in ("row", "block", "cell", "bound", "visited", "reached", "group", "part")})
+    found = ann.nearest(df, F.col("vec_id") % 20 == 0, block_rows=50, query_rows=3).collect()
+    assert sorted(map(tuple, found)) == brute_rows(rows)
     assert ann.nearest(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
-    few = ann.nearest(df.where("vec_id in (20, 21)"), F.col("vec_id") % 20 == 0).collect()
-    assert [(r.query_id, r["rank"], r.vec_id) for r in few] == [(20, 1, 21)]
+    few = ann.nearest(df.where("vec_id in (21, 22) or vec_id = 60"), F.col("vec_id") % 20 == 0).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in few] == [(60, 1, 22), (60, 2, 21)]
+
+
+@pytest.mark.parametrize("kind", ["clustered", "random"])
+def test_neighbours_over_many_blocks(spark, monkeypatch, kind):
+    """Recall over many blocks, and the share of blocks that queries visit."""
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((6_000, 24))
+    if kind == "clustered":
+        vectors = 3 * rng.standard_normal((40, 24))[rng.integers(0, 40, 6_000)] + 0.3 * vectors
+        vectors /= np.sqrt((vectors**2).sum(axis=1))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    visits, plain = [], ann.stored
+
+    def stored(df, name):
+        out = plain(df, name)
+        visits.extend([out] if name == "ann-visits" else [])
+        return out
+
+    monkeypatch.setattr(ann, "stored", stored)
+    rows = ann.nearest(df, F.col("vec_id") % 20 == 0, block_rows=100).collect()
+    scores = vectors[::20] @ vectors.T
+    scores[np.arange(300), np.arange(0, 6_000, 20)] = -np.inf
+    best = {20 * q: set(np.argsort(-row)[:20].tolist()) for q, row in enumerate(scores)}
+    hits = sum(r.vec_id in best[r.query_id] for r in rows)
+    assert len(rows) == 6_000 and hits / 6_000 >= 0.95
+    share = sum(v.count() for v in visits) / (300 * 64)
+    print(kind, "recall", hits / 6_000, "visits per query, as a share of 64 blocks", share)
+    assert kind == "random" or share <= 0.35
+
+
+def test_upper_levels_deal_evenly():
+    points = np.random.default_rng(9).standard_normal((4_096, 8))
+    sides, places = ann.upper_levels(points, 64)
+    cells = ann.cell_of(points, sides, places)
+    assert np.bincount(cells, minlength=64).tolist() == [64] * 64
+    same = ann.upper_levels(np.ones((50, 8)), 8)
+    assert len(set(ann.cell_of(np.ones((50, 8)), *same).tolist())) == 1
+    assert ann.cell_of(points, *ann.upper_levels(points[:0], 1)).max() == 0
 
 
 @functools.cache
