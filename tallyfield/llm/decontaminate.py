@@ -126,7 +126,7 @@ def contained_items(
     Words are runs of non-blank characters, A-Z lower-cased. An item of fewer than ``width`` words is
     one shingle and found in documents of just these words; an item without words, or a NULL text on
     either side, is never found. Repeated rows on either side give repeated results; NULL ids are
-    returned as they are; an empty table on either side gives no rows. Other columns are not looked at.
+    returned as they are; very long texts are searched whole; an empty table on either side gives no rows. Other columns are not looked at.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

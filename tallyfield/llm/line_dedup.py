@@ -162,7 +162,7 @@ def dedup_lines(
     A line whose key has ``least`` code points or more and is found in several documents stays only
     in the one with the smallest id. A NULL or empty text is one empty line; rows without an id
     count as one document, the last; rows that share an id are one document, each with its own
-    text; an empty table gives no rows. Other columns of ``docs`` are not looked at.
+    text; a very long text or line is taken whole; an empty table gives no rows. Other columns of ``docs`` are not looked at.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -534,7 +534,7 @@ def near_duplicates(
     one shingle. Documents are linked if the share of common shingles is at least ``share``. A NULL
     text, or one without words, has no shingles and is linked with nothing; rows of one id are one
     document, linked by any of their texts; a row without an id stands alone, with no component, and
-    is kept; an empty table gives no rows. Other columns of ``docs`` are not looked at.
+    is kept; a very long text is compared whole; an empty table gives no rows. Other columns of ``docs`` are not looked at.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     join = _Join(plain, width, share)

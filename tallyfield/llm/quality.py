@@ -204,7 +204,7 @@ def quality_scores(
 
     Fitted on labelled rows whose fold is not ``held``. Only the text is an input. A NULL or empty text
     scores as one with all features 0; without an id a row is scored and not held out; repeated rows get
-    equal scores; an empty table gives no rows; without labels every score is 0.5. Other columns of
+    equal scores; a very long text is scored whole; an empty table gives no rows; without labels every score is 0.5. Other columns of
     ``docs`` are not looked at.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -131,7 +131,8 @@ def write_records(
     tokenizer: the text of a special token becomes that token.
 
     Rows without an id come first; a NULL or empty text is the end id alone; repeated rows are
-    records of their own, in no order among themselves that matters; an empty table writes no shard.
+    records of their own, in no order among themselves that matters; a very long
+    text is one record, in a shard of its own if it exceeds one; an empty table writes no shard.
     Ranges are cut by id, then by text, then at random, so that one id in many rows is spread too.
     """
     spark = docs.sparkSession

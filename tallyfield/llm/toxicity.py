@@ -192,7 +192,7 @@ def toxicity_scores(
     Learnt from rows whose fold is not ``held``: toxic examples from the labels, unlabelled texts from
     all documents, the prior from the share of label 1 among labelled rows. Only the text is an input. A
     NULL or empty text has no features and scores the base; without an id a row is scored and not held
-    out; repeated rows get equal scores; an empty table gives no rows; without toxic examples every score
+    out; repeated rows get equal scores; a very long text is scored whole; an empty table gives no rows; without toxic examples every score
     is below 0.5. Other columns of ``docs`` are not looked at.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
