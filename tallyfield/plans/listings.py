@@ -26,16 +26,25 @@ def districts(df: DataFrame) -> DataFrame:
     )
 
 
+# A mark on derived columns, kept in the schema of stored tables: their names alone do not tell.
+DERIVED = {"derived_by": "tallyfield.listings"}
+
+
 def enriched(df: DataFrame) -> DataFrame:
     """Adds every derived column that is not there yet. A report reads only the ones it uses; the
-    rest are pruned. A table stored by ``store_enriched`` passes as it is, without parsing again."""
+    rest are pruned. A table stored by ``store_enriched`` passes as it is, without parsing again. A
+    column that bears a derived name but was not made here is an error."""
     derived = {
         "cleaned_price": money_lenient(F.col("price")),
         "amenities_count": list_length(F.col("amenities")),
         "license_category": license_category(F.col("license")),
         "clean_country": country_of(F.col("host_location")),
     }
-    return df.withColumns({c: e for c, e in derived.items() if c not in df.columns})
+    taken = [c for c in derived if c in df.columns]
+    foreign = [c for c in taken if df.schema[c].metadata.get("derived_by") != DERIVED["derived_by"]]
+    if foreign:
+        raise ValueError(f"columns of the table bear names of derived ones: {foreign}")
+    return df.withColumns({c: e.alias(c, metadata=DERIVED) for c, e in derived.items() if c not in taken})
 
 
 def store_enriched(df: DataFrame, path: str) -> DataFrame:
@@ -48,7 +57,8 @@ def store_enriched(df: DataFrame, path: str) -> DataFrame:
 
 def with_country(df: DataFrame, match: str = "list_order") -> DataFrame:
     """Adds (or replaces) ``clean_country``, row by row: no shuffle, whatever the locations."""
-    return df.withColumn("clean_country", country_of(F.col("host_location"), match))
+    country = country_of(F.col("host_location"), match)
+    return df.withColumn("clean_country", country.alias("clean_country", metadata=DERIVED))
 
 
 def q1_rows(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyfield.plans import listings as q
@@ -144,3 +145,15 @@ def test_orders_of_reports(spark):
         rows = [tuple(r) for r in df.collect()]
         keys = 1 if name == "listings_q18b" else len(df.columns) - 1
         assert [r[:keys] for r in rows] == sorted(r[:keys] for r in rows), name
+
+
+def test_derived_columns_are_told_by_their_mark(spark, tmp_path):
+    """A stored table is known again, however it is read; a column that only bears the name is not."""
+    from tallyfield.plans.shaped import listings as shaped
+
+    df = shaped(spark, "/root/testdata/sf0.001")
+    stored = q.store_enriched(df, str(tmp_path / "stored"))
+    for table in (stored, spark.read.parquet(str(tmp_path / "stored")), q.with_country(df)):
+        assert q.enriched(table).columns == [*table.columns, *[c for c in stored.columns if c not in table.columns]]
+    with pytest.raises(ValueError, match="license_category"):
+        q.enriched(df.withColumn("license_category", F.lit("raw")))
