@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyfield.llm import decontaminate, mixing, near_dedup, quality, sharding
-from tallyfield.llm.common import stored, table
+from tallyfield.llm.common import table
+from tallyfield.session import scratch_path, scratch_removed
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,11 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        path = scratch_path(spark, f"pipeline-{name.replace(' ', '-')}")
+        with scratch_removed(spark):  # what a stage wrote on its way, once its result is written
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     _, last = STAGES[-1]
     return last(spark, docs, sf_dir)
 

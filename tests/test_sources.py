@@ -14,6 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tallyfield.operators import inspect
 from tallyfield.plans import books, listings
 from tallyfield.schema import BOOKS, LISTINGS
+from tallyfield.session import scratch_path, scratch_removed
 from tallyfield.sources import csv_files, json_files, tables
 
 ROW = {
@@ -290,3 +291,13 @@ def test_csv_split_fails_like_in_one_piece(spark, tmp_path, content):
 def test_csv_split_without_rows(spark, tmp_path):
     (tmp_path / "t.csv").write_text("\ufeffid,a,b\n\n", encoding="utf8")
     assert csv_files.read_csv(spark, str(tmp_path), LETTERS, split_files=True).collect() == []
+
+
+def test_scratch_is_removed(spark):
+    outside = scratch_path(spark, "kept")
+    with scratch_removed(spark):
+        inside = scratch_path(spark, "gone")
+        spark.range(3).write.parquet(inside)
+        spark.read.parquet(inside).write.parquet(outside)
+    assert spark.read.parquet(outside).count() == 3
+    assert not Path(inside).exists()
