@@ -40,7 +40,7 @@ CELL_ENTRIES = 8_000_000
 _AT_ONCE = 2_000_000
 _COUNTED = 2_000_000
 # Pieces of text whose ids a worker holds, for each tokenizer.
-_PIECES = 250_000
+_PIECES = 400_000
 _EXPANDED = 64
 
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
@@ -348,11 +348,9 @@ def fragment(pairing: Pairing, a: np.ndarray, b: np.ndarray, low: int, high: int
 def _leaves(paths: tuple[str, str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks to their fragments: what is closed, and the open ends."""
     pairing = _pairing(*paths)
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            text = r["text"][1:].decode()
-            (a,), (b,) = pairing.tokens([text])
+    for batch in itertools.chain.from_iterable(map(_sliced, batches)):
+        rows, chunked = [], batch.to_pylist()
+        for r, a, b in zip(chunked, *pairing.tokens([r["text"][1:].decode() for r in chunked]), strict=True):
             ok = pairing.a.joined(a) == r["text"] and pairing.b.joined(b) == r["text"]
             f = fragment(pairing, a, b, r["low"], r["high"]) if ok else fragment(pairing, a[:0], b[:0], 0, 0)
             sides = [x.astype("<u4").tobytes() for side in (f["before"], f["behind"]) for x in side]

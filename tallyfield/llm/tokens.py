@@ -66,7 +66,7 @@ class PieceIds:
             self.before, self.known, self.held = self.known, {}, 0
         new = set().union(*groups).difference(self.known)
         if self.before and new:
-            met = {p: self.before[p] for p in new.intersection(self.before)}
+            met = {p: self.before[p] for p in new if p in self.before}
             self._keep(met)
             new.difference_update(met)
         if new:
@@ -147,7 +147,7 @@ class Encoder:
         bare = pieces.difference(marked)
         bare.update([p[:-1] for p in marked])
         known = self.pieces.known
-        ids = {p: known[p] for p in bare.intersection(known)} if known else {}
+        ids = {p: known[p] for p in bare if p in known}
         bare.difference_update(ids)
         # Words of letters alone, behind a blank or at the beginning of a line, are never cut.
         words = [p for p in bare if p.isalpha()]
