@@ -47,11 +47,16 @@ def plain_groups(text):
             return []
         sides.append(list(zip(ids, itertools.accumulate(map(len, tokens)), strict=True)))
     common = {end for _, end in sides[0]} & {end for _, end in sides[1]}
-    groups, last = [], 0
-    for end in sorted(common):
-        groups.append(tuple([i for i, e in side if last < e <= end] for side in sides))
-        last = end
-    return groups
+    groups = []
+    for side in sides:
+        here, parts = [], []
+        for i, end in side:
+            here.append(i)
+            if end in common:
+                parts.append(here)
+                here = []
+        groups.append(parts)
+    return list(zip(*groups, strict=True))
 
 
 def written(groups):
