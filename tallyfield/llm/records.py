@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,9 @@ from tallyfield.llm.tokens import encoder
 
 SHARD_BYTES = 8 * 1024 * 1024
 END_ID = 2
-_AT_ONCE = 500
+# Rows encoded together: at most so many, of about so many bytes of text.
+_AT_ONCE = 2_000
+_BYTES_AT_ONCE = 4_000_000
 MARK = b"\n"
 _LENGTH = struct.Struct("<Q")
 _SUM = struct.Struct("<I")
@@ -83,6 +86,19 @@ def ids_of(payload: memoryview) -> tuple[int | None, np.ndarray]:
     return (doc_id if has else None), np.frombuffer(payload[_HEAD.size :], f"<u{width}").astype("<u4")
 
 
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts are encoded together; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    start, held = 0, 0
+    for row, size in enumerate(sizes):
+        if row > start and (row - start == _AT_ONCE or held + size > _BYTES_AT_ONCE):
+            yield batch.slice(start, row - start)
+            start, held = row, 0
+        held += size
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def _frames(
     path: str, end_id: int, shard_bytes: int, batches: Iterator[pa.RecordBatch]
 ) -> Iterator[pa.RecordBatch]:
@@ -90,11 +106,9 @@ def _frames(
     part = TaskContext.get().partitionId()
     shard, held, row = 0, 0, 0
     for batch in batches:
-        for start in range(0, batch.num_rows, _AT_ONCE):
-            some = batch.slice(start, _AT_ONCE)
+        for some in _cut(batch):
             shards, rows, frames = [], [], []
-            texts = some.column(1).to_pylist()
-            for doc_id, ids in zip(some.column(0).to_pylist(), ids_by.encode(texts), strict=True):
+            for doc_id, ids in zip(some.column(0).to_pylist(), ids_by.encode_column(some.column(1)), strict=True):
                 ids = np.append(ids, np.array([end_id], ids.dtype))
                 framed = frame(payload_of(doc_id, ids))
                 if held and held + len(framed) > shard_bytes:

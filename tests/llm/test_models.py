@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -233,6 +234,51 @@ def test_pieces_give_the_ids_of_whole_texts(most, special_as_text, blank):
             assert ids.tolist() == plain.encode(" " * blank + (text or ""), add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("most", [400_000, 3])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_columns_give_the_ids_of_whole_texts(most, name, special_as_text):
+    path = str(public_tokenizers.path(name))
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = special_as_text
+    encoder, texts = Encoder(path, special_as_text, most_pieces=most), token_texts()
+    texts = texts if name.startswith("byte") else texts[-400:]
+    for start in range(0, len(texts), 70):
+        some = texts[start : start + 70]
+        for text, ids in zip(some, encoder.encode_column(pa.array(["", *some])[1:]), strict=True):
+            assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)
+    assert encoder.encode_column(pa.array([], pa.string())) == []
+    assert [x.tolist() for x in encoder.encode_column(pa.array([None, ""], pa.string()))] == [[], []]
+
+
+def test_recurring_words_and_signs_reach_the_library_once(monkeypatch):
+    """Words in many texts, each with many runs of signs behind it: only the words and the runs are new."""
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [f"{a}{b}" for a in ("Wort", "mél", "zq", "the") for b in ("", "x", "yé", "tion")]
+    runs = ["", *",.;!'", "!!", "***", "%&%", "'.", "-" * 8, "-" * 9]
+    lines = [[f"{w}{r}" for w in words] for r in runs]
+    texts = [f"0 {' '.join(line)}\n{' '.join(reversed(line))}" for line in lines for _ in range(3)]
+    given, encoder = [], Encoder(path)
+    plain_words, plain_whole = encoder._of_words, encoder._whole
+    monkeypatch.setattr(encoder, "_of_words", lambda some, before: given.extend(some) or plain_words(some, before))
+    monkeypatch.setattr(encoder, "_whole", lambda some: given.extend(some) or plain_whole(some))
+    found = [encoder.encode_column(pa.array(some)) for some in (texts[:20], texts[20:])]
+    assert [ids.tolist() for some in found for ids in some] == [plain_tokens(t) for t in texts]
+    given = [g for g in given if g != "0"]  # first pieces are encoded by themselves
+    long, lines_begun = len(words) + 1, 1  # the run of nine signs stays with its words
+    assert len(given) <= len(words) + len(runs) + long + lines_begun
+
+
+def test_rows_are_encoded_in_runs_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(records, "_AT_ONCE", 3)
+    monkeypatch.setattr(records, "_BYTES_AT_ONCE", 10)
+    texts = [None, "", "a", "b", "éééé", "ccc", "d" * 50, "e", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    found = [some.column(1).to_pylist() for some in records._cut(batch)]
+    assert found == [[None, "", "a"], ["b", "éééé"], ["ccc"], ["d" * 50], ["e", None]]
+    assert list(records._cut(batch.slice(0, 0))) == []
+
+
 def test_special_tokens_in_a_text_are_the_librarys():
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     assert 50256 in Encoder(path).encode(["one<|endoftext|>two"])[0]
